@@ -1,8 +1,8 @@
 """Every query of the subpackage and its SQL, by name."""
 
-from scrubwell.llm import bpe
+from scrubwell.llm import bpe, decontaminate, quality, simhash, token_counts
 
-MODULES = (bpe,)
+MODULES = (bpe, token_counts, decontaminate, simhash, quality)
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
