@@ -90,3 +90,9 @@ def crc_mod(doc_id: Any, mod: int) -> Any:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % mod
 
 
+
+
+def release(df: DataFrame) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more; it does so on a collection."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()

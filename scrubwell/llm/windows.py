@@ -50,18 +50,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def _prefix(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    up, down = Powers.of(len(words))
+    total = np.empty(len(words) + 1, np.uint64)
+    total[0] = 0
+    np.cumsum(words * up, out=total[1:])
+    return total, down
+
+
 def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
     """A hash of each run of ``length`` words: a polynomial in the words' hashes, by prefix sums."""
     n = len(words) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = Powers.of(len(words))
-    total = np.empty(len(words) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(words * up, out=total[1:])
+    total, down = _prefix(words)
     return mix((total[length:] - total[:n]) * down[:n])
 
 
+def span_hashes(words: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The same for runs of ``count`` words from each ``start``."""
+    total, down = _prefix(words)
+    return mix((total[start + count] - total[start]) * down[start])
+
+
 def sliding_argmin(h: np.ndarray, width: int) -> np.ndarray:
     """Index of the least of each ``width`` consecutive values, the leftmost among equals."""
     n = len(h) - width + 1
