@@ -24,8 +24,10 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scrubwell.llm.common import map_rows, read_table
 from scrubwell.llm.windows import run_hashes, word_hashes
@@ -156,6 +158,29 @@ def contaminated(
     return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], names)
 
 
+def clean(
+    docs: DataFrame, items: DataFrame, *, text: str = "text", item_key: str = "item_id", item_text: str = "text",
+    shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows of ``docs``, as they are, that contain no item; the same search, as a filter for each block."""
+    for block in blocks(items, item_key, item_text, block_bytes):
+        index = Index(shingle, threshold)
+        for item_id, t in block:
+            index.add(item_id, t)
+        sent = docs.sparkSession.sparkContext.broadcast(index)
+        docs = docs.filter(_free_of(sent)(F.coalesce(docs[text].cast("string"), F.lit(""))))
+    return docs
+
+
+def _free_of(sent):
+    @F.pandas_udf("boolean")
+    def free(texts: pd.Series) -> pd.Series:
+        index = sent.value
+        return texts.map(lambda t: not index.search(t.encode())).astype(bool)
+
+    return free
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -181,7 +182,7 @@ def accepted(df: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
-    def keeps(texts: "pd.Series") -> "pd.Series":  # noqa: F821
+    def keeps(texts: pd.Series) -> pd.Series:
         m = sent.value
         return texts.map(lambda t: not m.predict(t)[2]).astype(bool)
 

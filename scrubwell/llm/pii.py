@@ -29,6 +29,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -266,9 +267,7 @@ def sanitised(df: DataFrame, *, key: str = "doc_id", text: str = "text", alpha:
     k, t = df[key].cast("long"), df[text].cast("string")
 
     @F.pandas_udf("string")
-    def rewrite(texts: "pd.Series", terms: "pd.Series") -> "pd.Series":  # noqa: F821
-        import pandas as pd
-
+    def rewrite(texts: pd.Series, terms: pd.Series) -> pd.Series:
         done = [
             x if x is None else redact(x, [(r["start"], r["end"], r["told"]) for r in (y if y is not None else ())])
             for x, y in zip(texts, terms)
@@ -277,7 +276,7 @@ def sanitised(df: DataFrame, *, key: str = "doc_id", text: str = "text", alpha:
 
     named = df.withColumns({"__row_id": F.coalesce(k, F.lit(-1)), "__row_hash": F.xxhash64(k, t)})
     side = extra.select(F.col("row_id").alias("__row_id"), F.col("row_hash").alias("__row_hash"), F.col("terms").alias("__terms"))
-    joined = named.join(side, ["__row_id", "__row_hash"], "left")
+    joined = named.join(side.hint("shuffle_hash"), ["__row_id", "__row_hash"], "left")
     return joined.withColumn(text, rewrite(F.col(text).cast("string"), "__terms")).select(*df.columns)
 
 

@@ -61,15 +61,16 @@ def join_digests(shingles, digest) -> bytes:
 
 
 def fingerprints(df: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = SHINGLE) -> DataFrame:
-    """``key`` and ``fp``, the fingerprint as a signed long."""
-    source = df.select(df[key].cast("long").alias("key"), df[text].cast("string").alias("text"))
+    """``key``, ``row_hash`` (of key and text) and ``fp``, the fingerprint as a signed long."""
+    k, t = df[key].cast("long"), df[text].cast("string")
+    source = df.select(k.alias("key"), F.xxhash64(k, t).alias("row_hash"), t.alias("text"))
 
     def rows(it: Iterator[tuple]) -> Iterator[tuple]:
-        for k, data in it:
-            yield k, fingerprint(data or b"", n)
+        for k, h, data in it:
+            yield k, h, fingerprint(data or b"", n)
 
-    schema = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
-    return map_rows(source, rows, "key long, fp long", schema, binary=("text",)).withColumnRenamed("key", key)
+    schema = pa.schema([("key", pa.int64()), ("row_hash", pa.int64()), ("fp", pa.int64())])
+    return map_rows(source, rows, "key long, row_hash long, fp long", schema, binary=("text",))
 
 
 class BKTree:
@@ -187,18 +188,38 @@ def _signed(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``key``, ``fp`` and ``component`` (the least key of all rows that links lead to)."""
+    """``key``, ``row_hash``, ``fp``, ``root`` (a fingerprint that names the component) and ``component`` (its least key)."""
     prints = cut(fingerprints(df, key=key, text=text))
-    classes = cut(prints.groupBy("fp").agg(F.min(key).alias("least")))
+    classes = cut(prints.groupBy("fp").agg(F.min("key").alias("least")))
     roots = components(links(classes.select("fp"), radius=radius)).withColumnRenamed("node", "fp")
     of = cut(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     least = of.groupBy("root").agg(F.min("least").alias("component"))
-    return prints.join(of.join(least, "root").select("fp", "component"), "fp")
+    return prints.join(of.join(least, "root").select("fp", "root", "component"), "fp")
+
+
+def one_of_each(df: DataFrame, *, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """``df`` with the row of least key (then least hash of the text) of each component; a repeated row stays once."""
+    found = cut(near_duplicates(df, key=key, text=text, radius=radius).select("key", "row_hash", "root"))
+    rank = F.struct(F.col("key").isNull().alias("no_key"), "key", "row_hash")
+    first = found.groupBy("root").agg(F.min(rank).alias("r")).select("root", "r.key", "r.row_hash")
+    mine = [F.coalesce("key", F.lit(-1)).alias("__id"), F.col("key").isNull().alias("__null"), F.col("row_hash").alias("__hash")]
+    rows = found.groupBy("root", "key", "row_hash").agg(F.count("*").alias("n"))
+    same = (F.col("f.root") == F.col("r.root")) & F.col("f.key").eqNullSafe(F.col("r.key")) & (F.col("f.row_hash") == F.col("r.row_hash"))
+    losers = rows.alias("r").join(first.alias("f"), same, "left_anti").select(*mine)
+    again = cut(rows.alias("r").join(first.alias("f"), same, "left_semi").filter("n > 1").select(*mine))
+    k, t = df[key].cast("long"), df[text].cast("string")
+    names = ["__id", "__null", "__hash"]
+    named = df.withColumns({"__id": F.coalesce(k, F.lit(-1)), "__null": k.isNull(), "__hash": F.xxhash64(k, t)})
+    kept = named.join(losers.hint("shuffle_hash"), names, "left_anti")
+    if not again.isEmpty():
+        single = kept.join(again.hint("shuffle_hash"), names, "left_anti")
+        kept = single.unionByName(kept.join(again.hint("shuffle_hash"), names, "left_semi").dropDuplicates(names))
+    return kept.select(*df.columns)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents")).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
+        F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
     )
 
 
