@@ -1,0 +1,78 @@
+import base64
+import gzip
+import hashlib
+import random
+
+import pytest
+
+from scrubwell.llm import warc
+
+
+@pytest.fixture
+def pages(spark):
+    return lambda rows: spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, key string, payload long")
+
+
+def brute(rows, least=0):
+    out = []
+    for k, _, h in rows:
+        body = (h or "").encode()
+        same = [r[0] for r in rows if (r[2] or "").encode() == body and r[0] is not None]
+        top = max(same, default=None) if len(body) >= least else None
+        revisit = top is not None and top != k
+        out.append((k, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "revisit" if revisit else "response", top if revisit else None))
+    return sorted(out, key=str)
+
+
+ROWS = [(5, "http://www.B.org/x?b=2&a=1", "<p>é</p>"), (7, "http://a.org:80/", "<p>é</p>"), (-3, None, None), (2, "", ""), (9, "http://[bad", "<p>é</p>"),
+        (11, "http://a.org/" + "y" * 3000, "z" * 90000), (12, "http://a.org/", "\r\n\r\nodd"), (None, "http://a.org/", "null key")]
+
+
+@pytest.mark.parametrize("least", [0, 5])
+def test_round_trip(pages, tmp_path, least):
+    folder = f"file://{tmp_path}/w"
+    index = warc.merge(warc.write(pages(ROWS), folder, min_bytes=least))
+    rows = warc.read(index, folder).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows), key=str) == brute(ROWS, least)
+    stored = {r.page_id: bytes(r.payload) for r in rows if r.record_type == "response"}
+    assert stored[12] == b"\r\n\r\nodd" and len(stored[11]) == 90000
+    raw = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").iterdir())
+    assert raw.count(b"WARC/1.1\r\n") == len(ROWS)
+    warc.remove(folder)
+    assert not (tmp_path / "w").exists()
+
+
+def test_index_is_in_order_over_partitions(spark, pages, tmp_path):
+    r = random.Random(4)
+    rows = [(i, f"http://h{r.randrange(4)}.org/{r.randrange(9) if r.random() < 0.6 else 'hot'}", f"p{r.randrange(50)}") for i in range(400)]
+    folder = f"file://{tmp_path}/w"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else all of it is one partition
+    try:
+        runs = warc.write(pages(rows), folder)
+        index = warc.cut(warc.merge(runs))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert runs.select("run").distinct().count() > 1
+    keys = [warc.order((x.urlkey, x.ts, x.key)) for x in index.collect()]
+    assert keys == sorted(keys) and len(keys) == 400 and index.rdd.getNumPartitions() > 1
+
+
+def test_repeated_rows_and_empty(pages, tmp_path):
+    folder = f"file://{tmp_path}/w"
+    rows = [(1, "u", "a"), (1, "u", "a"), (2, "u", "a")]
+    got = warc.read(warc.merge(warc.write(pages(rows), folder)), folder).collect()
+    assert sorted((r.page_id, r.record_type) for r in got) == [(1, "revisit"), (1, "revisit"), (2, "response")]
+    assert warc.merge(warc.write(pages([]), folder)).count() == 0
+
+
+@pytest.mark.parametrize("k", [0, 1, 2, 3, 7, 16])
+def test_loser_tree(k):
+    r = random.Random(k)
+    runs = [sorted(r.randrange(50) for _ in range(r.randrange(0, 30))) for _ in range(k)]
+    assert list(warc.LoserTree([iter(x) for x in runs], lambda v: v)) == sorted(v for x in runs for v in x)
+
+
+def test_keys():
+    for k in (None, 0, 5, -1, -(2**63), 2**63 - 1):
+        assert warc.key_of(warc.record_id(k)) == k
+    assert warc.urlkey("HTTP://www.Ex.com:80/A/?b=2&a=1#f") == "com,ex)/a?a=1&b=2"
