@@ -238,5 +238,19 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
+_SQL = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + {LENGTH - 1}], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {LENGTH - 2})) AS i FROM w)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS c FROM g) WHERE c > 1),
+gone AS (SELECT DISTINCT doc_id, i + d AS p FROM r, (SELECT unnest(range({LENGTH})) AS d)),
+k AS (
+  SELECT doc_id, string_agg(x.word, ' ' ORDER BY x.p) AS kept, count(*) AS n
+  FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w) x
+  ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)"""
+
 QUERIES = {"op5_substrings": op5_substrings}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op5_substrings": _SQL}
