@@ -233,7 +233,7 @@ def learn_lexicon(sampled: DataFrame, limit: int) -> Lexicon:
     total = counts.groupBy("term").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
     n_yes, n_no = sampled.agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)).first()
     lift = (F.col("yes") / F.lit(float(max(1, n_yes)))) / ((F.col("no") + 0.5) / F.lit(float(max(1, n_no))))
-    enough = max(4, n_yes // 500)
+    enough = max(4, n_yes // 80)
     chosen = total.withColumn("lift", lift).filter((F.col("yes") >= enough) & (F.col("lift") >= 8)).orderBy(F.desc("lift"), F.desc("yes"), "term").limit(limit)
     terms = [bytes(r.term) for r in chosen.select("term").collect()]  # ``limit`` at most
     words = frozenset(t[:-1] for t in terms if t.endswith(b" ")) | frozenset(w.encode() for w in SEED_WORDS)
