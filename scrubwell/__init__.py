@@ -2,91 +2,25 @@
 
 import logging
 
-from scrubwell.functions.addresses import (
-    extract_zip_code,
-    standardize_directionals,
-    standardize_state,
-    standardize_state_name,
-    standardize_street_suffixes,
-    standardize_unit_markers,
-    strip_trailing_state,
-)
-from scrubwell.functions.dates import EpochTimeUnit, flag_dates_outside_range, normalize_epoch_timestamps, normalize_excel_serial_dates
-from scrubwell.functions.names import (
-    extract_email_local_part,
-    extract_email_local_part_strict,
-    remove_credentials,
-    remove_jr_suffix,
-    standardize_initials,
-    strip_name_prefixes,
-    strip_name_suffixes,
-)
-from scrubwell.functions.numbers import (
-    accounting_parens_to_negative,
-    cast_to_float64,
-    percent_to_fraction,
-    remove_thousands_separators,
-    trailing_minus_to_prefix,
-)
-from scrubwell.functions.stats import (
-    clip_numeric,
-    collapse_keep_top_n,
-    collapse_rare_by_count,
-    flag_iqr_outliers,
-    flag_mad_outliers,
-    flag_zscore_outliers,
-    map_categories,
-    winsorize_numeric,
-)
-from scrubwell.functions.tables import (
-    DEFAULT_CREDENTIALS,
-    DEFAULT_DIRECTIONAL_MAP,
-    DEFAULT_MISSING_SENTINELS,
-    DEFAULT_NAME_PREFIXES,
-    DEFAULT_NAME_SUFFIXES,
-    DEFAULT_PLACEHOLDER_SENTINELS,
-    DEFAULT_SPLIT_DELIMITERS,
-    DEFAULT_STREET_SUFFIX_MAP,
-    DEFAULT_UNIT_MARKER_MAP,
-)
-from scrubwell.functions.text import (
-    apply_replacements,
-    collapse_whitespace,
-    fold_to_ascii,
-    normalize_unicode_nfkc,
-    nullify_blank_strings,
-    periods_to_spaces,
-    remove_apostrophes,
-    remove_periods,
-    replace_ampersand_with_and,
-    replace_whitespace_with,
-    separators_to_space,
-    strip_whitespace,
-    to_lowercase,
-    to_snake_case,
-    to_titlecase,
-    to_uppercase,
-    underscores_to_spaces,
-)
-from scrubwell.functions.values import nullify_sentinels, pad_left, split_on_delimiters
-from scrubwell.operators.canonicalize import canonicalize_vin
-from scrubwell.operators.combine import coalesce_blank_columns, combine_columns, hash_key
-from scrubwell.operators.filters import PeriodInterval, within_complete_month, within_complete_period
-from scrubwell.operators.group import (
-    CentralTendencyStrategy,
-    fill_null_numeric_by_group,
-    fill_null_string_by_group,
-    first_non_null_per_group,
-    mode_then_first_per_group,
-)
-from scrubwell.operators.schema import normalize_column_names
-from scrubwell.operators.validate import assert_no_nulls, assert_string_length
-from scrubwell.plans.compose import apply_recipe, compose_column
+from scrubwell.functions.addresses import *  # noqa: F403
+from scrubwell.functions.dates import *  # noqa: F403
+from scrubwell.functions.names import *  # noqa: F403
+from scrubwell.functions.numbers import *  # noqa: F403
+from scrubwell.functions.stats import *  # noqa: F403
+from scrubwell.functions.tables import *  # noqa: F403
+from scrubwell.functions.text import *  # noqa: F403
+from scrubwell.functions.values import *  # noqa: F403
+from scrubwell.operators.canonicalize import *  # noqa: F403
+from scrubwell.operators.combine import *  # noqa: F403
+from scrubwell.operators.filters import *  # noqa: F403
+from scrubwell.operators.group import *  # noqa: F403
+from scrubwell.operators.schema import *  # noqa: F403
+from scrubwell.operators.validate import *  # noqa: F403
+from scrubwell.plans.compose import *  # noqa: F403
+from scrubwell.streaming.clean import *  # noqa: F403
 from scrubwell.plans.recipes import *  # noqa: F403
 from scrubwell.plans.recipes import ALL as RECIPES
-from scrubwell.streaming.clean import clean_stream
-from scrubwell.types import ColumnTransform
+from scrubwell.types import ColumnTransform  # noqa: F401
 
 logging.getLogger(__name__).addHandler(logging.NullHandler())
 __version__ = "0.1.0"
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("logging", "ALL")]

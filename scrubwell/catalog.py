@@ -21,7 +21,7 @@ FLAGSHIP = "street_address_normalize"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-# --- inputs ------------------------------------------------------------------------------------
+# Inputs.
 
 
 def _choice(key: str, *values: str | None) -> str:
@@ -62,7 +62,7 @@ INPUTS: dict[str, tuple[str, str, str]] = {
     ),
 }
 
-# --- DuckDB expressions ------------------------------------------------------------------------
+# DuckDB expressions.
 
 
 def _re(pattern: str, to: str) -> Callable[[str], str]:
@@ -108,7 +108,7 @@ def _null_in(*values: str) -> Callable[[str], str]:
     return lambda x: f"CASE WHEN upper({_strip(x)}) IN ({listed}) THEN NULL ELSE {x} END"
 
 
-_parens, _minus, _grouping = _re(r"^\s*\(\s*(.+?)\s*\)\s*$", r"-\1"), _re(r"^([^-].+)-$", r"-\1"), _re(r"[,\s]", "")
+_parens, _minus, _grouping = _re(r"^\s*[(]\s*(.+?)\s*[)]\s*$", r"-\1"), _re(r"^([^-].+)-$", r"-\1"), _re(r"[,\s]", "")
 _double = lambda x: f"CASE WHEN regexp_matches({x}, '^[+-]?[0-9.]+$') THEN TRY_CAST({x} AS DOUBLE) END"
 _percent = lambda x: f"CASE WHEN {x} LIKE '%\\%' ESCAPE '\\' THEN ({_double(_re('%$', '')(x))}) / 100.0 ELSE {_double(x)} END"
 _local = lambda x: f"split_part({x}, '@', 1)"
@@ -116,9 +116,9 @@ _local_strict = lambda x: f"nullif(regexp_extract({x}, '^([^@]+)@', 1), '')"  #
 _suffixes = _re(r"(?i)[, ]+(?:" + "|".join(sorted(tables.DEFAULT_NAME_SUFFIXES, key=len, reverse=True)) + r")\.?$", "")
 _prefixes = _re(r"(?i)^(?:" + "|".join(sorted(tables.DEFAULT_NAME_PREFIXES, key=len, reverse=True)) + r")\.?\s+", "")
 _credentials = _re(
-    r"(?i)(?:\s*,\s*(?:" + "|".join("".join(c + r"\.?" for c in w) for w in sorted(tables.DEFAULT_CREDENTIALS, key=len, reverse=True)) + r"))+$", ""
+    r"(?i)(?:\s*[,]\s*(?:" + "|".join("".join(c + r"\.?" for c in w) for w in sorted(tables.DEFAULT_CREDENTIALS, key=len, reverse=True)) + r"))+$", ""
 )
-_initials = _re(r"(?i)\b([a-z])[.\s]+", r"\1. ")
+_initials = _re(r"(?i)\b([a-z])[\s.]+", r"\1. ")
 
 
 def _lookup(mapping: dict[str, str]) -> Callable[[str], str]:
@@ -180,7 +180,7 @@ for _n, _source, _t, _d in [
     ("nullify_sentinels", "code", [s.nullify_sentinels(s.DEFAULT_MISSING_SENTINELS | {"?"})], _null_in("?", "", "N/A", "NA", "NAN", "NULL", "NONE")),
     ("pad_left", "short", [s.pad_left(5)], lambda x: f"CASE WHEN length({x}) >= 5 THEN {x} ELSE lpad({x}, 5, '0') END"),
     ("split_on_delimiters", "list", [s.split_on_delimiters()], _split("[,;|/-]")),
-    ("remove_jr_suffix", "name", [s.remove_jr_suffix], _re(r"(?i)(?:[, ]+)?jr\.?$", "")),
+    ("remove_jr_suffix", "name", [s.remove_jr_suffix], _re(r"(?i)[, ]*jr[.]?$", "")),
     ("extract_email_local_part", "email", [s.extract_email_local_part], _local),
     ("extract_email_local_part_strict", "email", [s.extract_email_local_part_strict], _local_strict),
     ("strip_name_suffixes", "name", [s.strip_name_suffixes()], _suffixes),
@@ -189,11 +189,11 @@ for _n, _source, _t, _d in [
     ("standardize_initials", "name", [s.standardize_initials], _initials),
     ("standardize_state", "state", [s.standardize_state], _lookup(tables.STATE_CODES)),
     ("standardize_state_name", "state", [s.standardize_state_name], _lookup(tables.STATE_NAMES)),
-    ("strip_trailing_state", "city", [s.strip_trailing_state], _re(r"(?i)(?:,\s*|\s+)(?:" + "|".join(tables.TRAILING_CODES) + ")$", "")),
+    ("strip_trailing_state", "city", [s.strip_trailing_state], _re(r"(?i)(?:\s+|,\s*)(?:" + "|".join(tables.TRAILING_CODES) + ")$", "")),
     ("standardize_directionals", "address", [s.standardize_directionals()], _words(tables.DEFAULT_DIRECTIONAL_MAP)),
     ("standardize_unit_markers", "address", [s.standardize_unit_markers()], _words(tables.DEFAULT_UNIT_MARKER_MAP)),
     ("standardize_street_suffixes", "address", [s.standardize_street_suffixes()], _words(tables.DEFAULT_STREET_SUFFIX_MAP)),
-    ("extract_zip_code", "zip", [s.extract_zip_code], lambda x: f"nullif(regexp_extract({x}, '\\b(\\d{{5}})(?:-\\d{{4}})?[,.\\s]*$', 1), '')"),
+    ("extract_zip_code", "zip", [s.extract_zip_code], lambda x: f"nullif(regexp_extract({x}, '\\b(\\d{{5}})(?:|-\\d{{4}})[\\s,.]*$', 1), '')"),
     ("whitespace_canonicalize", "messy", s.WHITESPACE_CANONICALIZE, _white),  # noqa: F405
     ("unicode_to_ascii", "signs", s.UNICODE_TO_ASCII, _fold),
     ("text_canonicalize", "messy", s.TEXT_CANONICALIZE, _canonical),

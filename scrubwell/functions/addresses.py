@@ -13,6 +13,11 @@ from scrubwell.functions.patterns import ZIP_LAST, any_of, group_or_null, replac
 from scrubwell.functions.text import strip_whitespace
 from scrubwell.types import ColumnTransform
 
+__all__ = """
+extract_zip_code standardize_directionals standardize_state standardize_state_name
+standardize_street_suffixes standardize_unit_markers strip_trailing_state
+""".split()
+
 
 def _state(c: Column, known: Mapping[str, str]) -> Column:
     lookup = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
@@ -31,7 +36,7 @@ def standardize_state_name(c: Column) -> Column:
 
 def strip_trailing_state(c: Column) -> Column:
     """No state code at the end, if a comma or space comes before it."""
-    return F.regexp_replace(c, rf"(?iU)(?:,\s*|\s+)(?:{any_of(tables.TRAILING_CODES)})\z", "")
+    return F.regexp_replace(c, rf"(?iU)(?:\s+|,\s*)(?:{any_of(tables.TRAILING_CODES)})\z", "")
 
 
 def _rule(variants: Sequence[str]) -> str:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from scrubwell.types import ColumnTransform
 
+__all__ = "EpochTimeUnit flag_dates_outside_range normalize_epoch_timestamps normalize_excel_serial_dates".split()
+
 type EpochTimeUnit = Literal["s", "ms", "us"]
 _UNITS = {"s": "SECOND", "ms": "MILLISECOND", "us": "MICROSECOND"}
 

@@ -11,6 +11,11 @@ from scrubwell.functions.patterns import INITIAL, JR, any_of, group_or_null, quo
 from scrubwell.functions.tables import DEFAULT_CREDENTIALS, DEFAULT_NAME_PREFIXES, DEFAULT_NAME_SUFFIXES
 from scrubwell.types import ColumnTransform
 
+__all__ = """
+extract_email_local_part extract_email_local_part_strict remove_credentials remove_jr_suffix
+standardize_initials strip_name_prefixes strip_name_suffixes
+""".split()
+
 
 def remove_jr_suffix(c: Column) -> Column:
     """No ``jr`` at the end, with or without a separator before it."""

@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from scrubwell.functions.patterns import GROUPING, IN_PARENTHESES, MINUS_LAST, NUMBER
 
+__all__ = """
+accounting_parens_to_negative cast_to_float64 percent_to_fraction remove_thousands_separators
+trailing_minus_to_prefix
+""".split()
+
 
 def accounting_parens_to_negative(c: Column) -> Column:
     """``(12)`` becomes ``-12``."""

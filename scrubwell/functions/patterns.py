@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 BLANK = r"(?U)^\s*\z"
 SPACES = r"(?U)\s+"
 RIM = r"(?U)^\s+|\s+\z"
-JR = r"(?iU)(?:[, ]+)?jr\.?\z"
-INITIAL = r"(?iU)\b([a-z])[.\s]+"
-IN_PARENTHESES = r"(?Ud)^\s*\(\s*(.+?)\s*\)\s*\z"
-MINUS_LAST = r"(?Ud)^([^-].+)-\z"
+JR = r"(?iU)[, ]*jr[.]?\z"
+INITIAL = r"(?iU)\b([a-z])[\s.]+"
+IN_PARENTHESES = r"(?Ud)\A\s*[(]\s*(.+?)\s*[)]\s*\z"
+MINUS_LAST = r"(?Ud)\A((?:[^-]).+)-\z"
 GROUPING = r"(?U)[,\s]"
-ZIP_LAST = r"(?U)\b(\d{5})(?:-\d{4})?[,.\s]*\z"
+ZIP_LAST = r"(?U)\b(\d{5})(?:|-\d{4})[\s,.]*\z"
 NUMBER = r"(?i)^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf|infinity|nan)\z"
 
 

@@ -17,11 +17,20 @@ from pyspark.sql.window import Window
 
 from scrubwell.types import ColumnTransform
 
+__all__ = """
+clip_numeric collapse_keep_top_n collapse_rare_by_count flag_iqr_outliers flag_mad_outliers
+flag_zscore_outliers map_categories winsorize_numeric
+""".split()
+
 
 def quoted_name(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+type Bound = float | None
+type Share = float
+
+
 @dataclass(frozen=True)
 class DataDependent:
     """``windowed``: the transform over a global window. ``framed``: (frame, column name, output name) to a frame."""
@@ -118,11 +127,11 @@ def _same_type(df: DataFrame, column: str, value: Column) -> Column:
     return value.cast(kind) if isinstance(kind, T.NumericType) else value
 
 
-def clip_numeric(lower: float | None = None, upper: float | None = None) -> DataDependent:
+def clip_numeric(lower: Bound = None, upper: Bound = None) -> DataDependent:
     """Clamped to the inclusive bounds; the type stays where the frame is at hand."""
     if lower is None and upper is None:
         raise ValueError("give lower, upper or both")
-    if lower is not None and upper is not None and lower > upper:
+    if None not in (lower, upper) and lower > upper:
         raise ValueError("lower must not exceed upper")
     bounds = (lower, upper)
 
@@ -132,7 +141,7 @@ def clip_numeric(lower: float | None = None, upper: float | None = None) -> Data
     return DataDependent(lambda c: _clip(c, *bounds), framed)
 
 
-def winsorize_numeric(lower_quantile: float = 0.05, upper_quantile: float = 0.95) -> DataDependent:
+def winsorize_numeric(lower_quantile: Share = 0.05, upper_quantile: Share = 0.95) -> DataDependent:
     """Clamped to two quantiles of the column (linear interpolation)."""
     if not 0 <= lower_quantile < upper_quantile <= 1:
         raise ValueError("quantiles must satisfy 0 <= lower < upper <= 1")

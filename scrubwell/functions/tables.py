@@ -5,6 +5,12 @@ Kept as compact text and expanded on import.
 
 from __future__ import annotations
 
+__all__ = """
+DEFAULT_CREDENTIALS DEFAULT_DIRECTIONAL_MAP DEFAULT_MISSING_SENTINELS DEFAULT_NAME_PREFIXES
+DEFAULT_NAME_SUFFIXES DEFAULT_PLACEHOLDER_SENTINELS DEFAULT_SPLIT_DELIMITERS
+DEFAULT_STREET_SUFFIX_MAP DEFAULT_UNIT_MARKER_MAP
+""".split()
+
 
 def _signs(table: str) -> dict[str, str]:
     """Lines of a stand-in and the code points that it replaces; ``-`` spans a range, ``~`` is nothing, ``_`` a space."""

@@ -14,6 +14,13 @@ from scrubwell.functions.patterns import BLANK, RIM, SPACES, any_of, replacement
 from scrubwell.functions.tables import ASCII_STAND_INS
 from scrubwell.types import ColumnTransform
 
+__all__ = """
+apply_replacements collapse_whitespace fold_to_ascii normalize_unicode_nfkc nullify_blank_strings
+periods_to_spaces remove_apostrophes remove_periods replace_ampersand_with_and
+replace_whitespace_with separators_to_space strip_whitespace to_lowercase to_snake_case to_titlecase
+to_uppercase underscores_to_spaces
+""".split()
+
 
 def nullify_blank_strings(c: Column) -> Column:
     """Null for empty and blank strings."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Sequence
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,9 +12,12 @@ from scrubwell.functions.tables import DEFAULT_SPLIT_DELIMITERS
 from scrubwell.functions.text import strip_whitespace
 from scrubwell.types import ColumnTransform
 
+__all__ = "nullify_sentinels pad_left split_on_delimiters".split()
 
-def nullify_sentinels(sentinels: Collection[str], *, case_insensitive: bool = True) -> ColumnTransform:
+
+def nullify_sentinels(sentinels: Iterable[str], *, case_insensitive: bool = True) -> ColumnTransform:
     """Null where the stripped value is a sentinel; other values come back untouched."""
+    sentinels = set(sentinels)
     if not sentinels:
         raise ValueError("sentinels must not be empty")
     known = sorted({s.strip().upper() if case_insensitive else s.strip() for s in sentinels})
@@ -35,8 +38,9 @@ def pad_left(width: int, *, fill: str = "0") -> ColumnTransform:
     return lambda c: F.when(F.length(c) >= width, c).otherwise(F.lpad(c, width, fill))
 
 
-def split_on_delimiters(delimiters: Sequence[str] = DEFAULT_SPLIT_DELIMITERS, *, dedup_delimiters: bool = False) -> ColumnTransform:
+def split_on_delimiters(delimiters: Iterable[str] = DEFAULT_SPLIT_DELIMITERS, *, dedup_delimiters: bool = False) -> ColumnTransform:
     """An array of stripped tokens; a blank token is a null element. With ``dedup_delimiters`` a run of delimiters cuts once."""
+    delimiters = list(delimiters)
     if not delimiters:
         raise ValueError("delimiters must not be empty")
     if any(len(d) != 1 for d in delimiters):

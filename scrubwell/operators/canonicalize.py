@@ -8,6 +8,8 @@ from scrubwell.functions.values import pad_left
 from scrubwell.operators.validate import assert_string_length
 from scrubwell.plans.compose import compose_column
 
+__all__ = "canonicalize_vin".split()
+
 VIN_LENGTH = 17
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from scrubwell.functions.stats import quoted_name
 from scrubwell.functions.text import nullify_blank_strings
 
+__all__ = "coalesce_blank_columns combine_columns hash_key".split()
+
 
 def _columns(columns: Sequence[str]) -> list[Column]:
     if not columns:

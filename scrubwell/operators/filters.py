@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from scrubwell.functions.stats import quoted_name
 
+__all__ = "PeriodInterval within_complete_month within_complete_period".split()
+
 type PeriodInterval = Literal["1d", "1w", "1mo", "1q", "1y"]
 _UNITS = {"1d": ("day", "INTERVAL 1 DAY"), "1w": ("week", "INTERVAL 7 DAYS"), "1mo": ("month", "INTERVAL 1 MONTH"), "1q": ("quarter", "INTERVAL 3 MONTHS"), "1y": ("year", "INTERVAL 1 YEAR")}
 

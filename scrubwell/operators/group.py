@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 
 from scrubwell.functions.stats import quoted_name
 
+__all__ = """
+CentralTendencyStrategy fill_null_numeric_by_group fill_null_string_by_group
+first_non_null_per_group mode_then_first_per_group
+""".split()
+
 type CentralTendencyStrategy = Literal["auto", "mean", "median"]
 _ORDER = "__order"
 

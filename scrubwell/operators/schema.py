@@ -7,6 +7,8 @@ from collections import Counter
 
 from pyspark.sql import DataFrame
 
+__all__ = "normalize_column_names".split()
+
 
 def normalize_column_names(df: DataFrame, separator: str = "_") -> DataFrame:
     """All names stripped, in small letters, white space as ``separator``; raises if two become one."""

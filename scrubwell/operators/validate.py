@@ -8,7 +8,10 @@ from pyspark.sql import types as T
 
 from scrubwell.functions.stats import quoted_name
 
+__all__ = "assert_no_nulls assert_string_length".split()
+
 EXAMPLES = 5
+type Bound = int | None
 
 
 def assert_no_nulls(df: DataFrame, column: str) -> None:
@@ -17,7 +20,7 @@ def assert_no_nulls(df: DataFrame, column: str) -> None:
         raise ValueError(f"column {column!r} contains {n} null value(s)")
 
 
-def length_violation(df: DataFrame, column: str, min_length: int | None, max_length: int | None, ignore_null: bool) -> Column:
+def length_violation(df: DataFrame, column: str, min_length: Bound, max_length: Bound, ignore_null: bool) -> Column:
     """True where a value is too short or too long, or null unless those are ignored."""
     if min_length is None and max_length is None:
         raise ValueError("give min_length, max_length or both")
@@ -33,7 +36,7 @@ def length_violation(df: DataFrame, column: str, min_length: int | None, max_len
 
 
 def assert_string_length(
-    df: DataFrame, column: str, *, min_length: int | None = None, max_length: int | None = None, ignore_null: bool = False
+    df: DataFrame, column: str, *, min_length: Bound = None, max_length: Bound = None, ignore_null: bool = False
 ) -> None:
     bad = length_violation(df, column, min_length, max_length, ignore_null)
     n = df.select(F.count_if(bad)).first()[0]

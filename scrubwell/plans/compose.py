@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from scrubwell.functions.stats import DataDependent, quoted_name
 from scrubwell.types import ColumnTransform
 
+__all__ = "apply_recipe compose_column".split()
+
 
 def _steps(transforms: Iterable[ColumnTransform]) -> list[ColumnTransform]:
     steps = list(transforms)

@@ -45,3 +45,4 @@ EMAIL_TO_TITLE_NAME = (names.extract_email_local_part_strict, text.separators_to
 SNAKE_CASE_TO_TITLE = (text.underscores_to_spaces, text.to_titlecase)
 
 ALL = {k: v for k, v in dict(globals()).items() if k.isupper() and isinstance(v, tuple)}
+__all__ = list(ALL)

@@ -10,6 +10,8 @@ from scrubwell.functions.stats import DataDependent
 from scrubwell.plans.compose import compose_column
 from scrubwell.types import ColumnTransform
 
+__all__ = "clean_stream".split()
+
 
 def clean_stream(stream: DataFrame, recipes: Mapping[str, Iterable[ColumnTransform]]) -> DataFrame:
     """``stream`` with each named column cleaned in place by its recipe.

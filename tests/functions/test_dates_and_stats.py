@@ -50,7 +50,7 @@ def test_outliers(spark):
 
 
 def test_bounds(spark):
-    assert both(spark, [-5.0, 0, 5, 50, None], [s.clip_numeric(0, 10)]) == [0.0, 0.0, 5.0, 10.0, None]
+    assert both(spark, [-5.0, 0, 5, 50, None], [s.clip_numeric(0, 10)]) == [0, 0, 5, 10, None]
     assert both(spark, [-5.0, 50], [s.clip_numeric(upper=10)]) == [-5.0, 10.0]
     whole = spark.createDataFrame([(0, -5), (1, 3), (2, 99)], "i int, x long")
     clipped = s.apply_recipe(whole, "x", [s.clip_numeric(0.0, 10.0)])

@@ -73,7 +73,7 @@ def test_first_and_mode(spark):
 
 def test_fills(spark):
     df = spark.createDataFrame([(0, 1, 10), (1, 1, None), (2, 1, 20), (3, None, None), (4, None, 3), (5, 2, None)], "i int, g int, v long")
-    assert column(s.fill_null_numeric_by_group(df, "v", ["g"], strategy="mean"), "v") == [10.0, 15.0, 20.0, 3.0, 3.0, None]
+    assert column(s.fill_null_numeric_by_group(df, "v", ["g"], strategy="mean"), "v") == [10, 15, 20, 3, 3, None]
     skewed = spark.createDataFrame([(i, 1, v) for i, v in enumerate([1.0, 1.0, 1.0, 1.0, 1.0, 2.0, 30.0, None])], "i int, g int, v double")
     assert column(s.fill_null_numeric_by_group(skewed, "v", ["g"]), "v")[-1] == 1.0
     assert column(s.fill_null_numeric_by_group(skewed, "v", ["g"], skew_threshold=99), "v")[-1] == pytest.approx(37 / 7)
