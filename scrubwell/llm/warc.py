@@ -235,7 +235,9 @@ def read(index: DataFrame, folder: str, *, key: str = "page_id") -> DataFrame:
         if source is not None:
             source.close()
 
-    placed = index.select("file", "offset", "size").repartition("file").sortWithinPartitions("file", "offset")
+    # A number of its own, as index rows are small beside what is read for them: sized by bytes, one task would read it all.
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = index.select("file", "offset", "size").repartition(parts, "file").sortWithinPartitions("file", "offset")
     schema = pa.schema(
         [("key", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()),
          ("refers_to", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("payload", pa.binary())]
