@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from scrubwell.functions.quantiles import exact_quantiles
 from scrubwell.types import ColumnTransform
 
 __all__ = """
@@ -60,8 +61,14 @@ def _by_figures(figures: Callable[[Column], list[Column]], result: Callable[[Col
     return DataDependent(lambda c: result(c, [_over_all(f) for f in figures(c)]), framed)
 
 
-def _quantiles(c: Column, *points: float) -> list[Column]:
-    return [F.percentile(c, F.lit(p)) for p in points]
+def _by_quantiles(points: list[float], result: Callable[[Column, list[Column]], Column]) -> DataDependent:
+    """Figures are exact quantiles of the column."""
+
+    def framed(df: DataFrame, column: str, output: str) -> DataFrame:
+        c = F.col(quoted_name(column))
+        return df.withColumn(output, result(c, exact_quantiles(df, c, points)))
+
+    return DataDependent(lambda c: result(c, [_over_all(F.percentile(c, F.lit(p))) for p in points]), framed)
 
 
 def flag_zscore_outliers(threshold: float = 3.0) -> DataDependent:
@@ -87,7 +94,7 @@ def flag_iqr_outliers(multiplier: float = 1.5) -> DataDependent:
         reach = multiplier * (q3 - q1)
         return (c < q1 - reach) | (c > q3 + reach)
 
-    return _by_figures(lambda c: _quantiles(c, 0.25, 0.75), result)
+    return _by_quantiles([0.25, 0.75], result)
 
 
 def flag_mad_outliers(threshold: float = 3.5) -> DataDependent:
@@ -104,8 +111,8 @@ def flag_mad_outliers(threshold: float = 3.5) -> DataDependent:
 
     def framed(df: DataFrame, column: str, output: str) -> DataFrame:
         c = F.col(quoted_name(column))
-        median = df.select(F.percentile(c, F.lit(0.5))).scalar()
-        mad = df.select(F.abs(c - median).alias("d")).select(F.percentile("d", F.lit(0.5))).scalar()
+        (median,) = exact_quantiles(df, c, [0.5])
+        (mad,) = exact_quantiles(df, F.abs(c - median), [0.5])
         return df.withColumn(output, result(c, median, mad))
 
     return DataDependent(windowed, framed)
@@ -145,7 +152,7 @@ def winsorize_numeric(lower_quantile: Share = 0.05, upper_quantile: Share = 0.95
     """Clamped to two quantiles of the column (linear interpolation)."""
     if not 0 <= lower_quantile < upper_quantile <= 1:
         raise ValueError("quantiles must satisfy 0 <= lower < upper <= 1")
-    inner = _by_figures(lambda c: _quantiles(c, lower_quantile, upper_quantile), lambda c, f: _clip(c, *f))
+    inner = _by_quantiles([lower_quantile, upper_quantile], lambda c, f: _clip(c, *f))
 
     def framed(df: DataFrame, column: str, output: str) -> DataFrame:
         done = inner.framed(df, column, "__clipped")
