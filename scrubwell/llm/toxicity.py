@@ -92,7 +92,7 @@ def features(data: bytes, lexicon: Lexicon) -> list[float]:
     ]
 
 
-# --- boosted trees -----------------------------------------------------------------------------
+# Boosted trees.
 
 
 @dataclass
@@ -199,7 +199,7 @@ def train(rows: list[tuple[list[float], int]], lexicon: Lexicon, share: float) -
     return Model(lexicon, trees, *isotonic(trees.margin(x[check]), y[check], weight))
 
 
-# --- over Spark --------------------------------------------------------------------------------
+# Over Spark.
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, *, key: str, text: str, label: str, rows: int) -> tuple[DataFrame, float, int]:
