@@ -67,10 +67,12 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one is set only where none is configured."""
+    """The shared folder of the cluster. A temporary one is set only in local mode, where none is configured."""
     sc = spark.sparkContext
     have = spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not have and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not have:
             have = "file://" + tempfile.mkdtemp(prefix="scrubwell-")
         sc.setCheckpointDir(have)
