@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scrubwell.functions import tables
-from scrubwell.functions.patterns import ZIP_LAST, any_of, group_or_null, replacement
+from scrubwell.functions.patterns import ZIP_LAST, any_of, group_or_null, let, replacement
 from scrubwell.functions.text import strip_whitespace
 from scrubwell.types import ColumnTransform
 
@@ -71,15 +71,15 @@ def _standardizer(mapping: Mapping[str, Sequence[str]], what: str) -> ColumnTran
 
     table = {w.lower() + dot: outcome(w.lower() + dot) for w in [*words, *mapping] for dot in ("", ".")}
     tokens = r"\w+\.?|\W+"
-    gate = f"(?i){_rule(words)}"
 
-    def transform(c: Column) -> Column:
-        found = F.regexp_extract_all(c, F.lit(tokens), F.lit(0))
+    def each(c: Column) -> Column:
         lookup = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-        scan = F.array_join(F.transform(found, lambda t: F.coalesce(F.element_at(lookup, F.lower(t)), t)), "")
-        return F.when(c.rlike(r"[^\x00-\x7f]|\w\.\w"), chain(c)).when(c.rlike(gate), scan).otherwise(c)
+        found = F.regexp_extract_all(c, F.lit(tokens), F.lit(0))
+        # The set is hashed, a map is searched in turn: so most tokens never reach the map.
+        one = lambda t: F.when(F.lower(t).isin(*table), F.element_at(lookup, F.lower(t))).otherwise(t)
+        return F.when(c.rlike(r"[^\x00-\x7f]|\w\.\w"), chain(c)).otherwise(F.array_join(F.transform(found, one), ""))
 
-    return transform
+    return lambda c: let(c, each)
 
 
 def standardize_directionals(mapping: Mapping[str, Sequence[str]] = tables.DEFAULT_DIRECTIONAL_MAP) -> ColumnTransform:

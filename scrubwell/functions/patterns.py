@@ -7,7 +7,7 @@ stops before a last line feed); ``d`` lets ``.`` cross every line end but ``\n``
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,3 +42,11 @@ def any_of(words: Iterable[str]) -> str:
 def group_or_null(column: Column, pattern: str) -> Column:
     """Group 1 of the first match, null where there is none; the group must not be empty."""
     return F.nullif(F.regexp_extract(column, pattern, 1), F.lit(""))
+
+
+def let(column: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(column)`` with ``column`` evaluated once per row, however often ``body`` mentions it.
+
+    Mentions multiply when such bodies are nested, and Catalyst shares them only outside of branches.
+    """
+    return F.element_at(F.transform(F.array(column), body), 1)
