@@ -32,9 +32,9 @@ from scrubwell.llm.common import map_rows, read_table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Entries of one generation of a memo; a memo holds two generations at most.
-MEMO = 160_000
+MEMO = 240_000
 #: Halves of at most so many bytes are remembered too.
-HALF = 7
+HALF = 8
 #: Letters below this sign are letters to every Unicode version.
 LATIN = "\u0250"
 
@@ -139,6 +139,7 @@ class BpeMonoid:
         self.find = regex.compile(pattern).findall
         self.pairs = pair_table(ranks)
         self.byte = [ranks[bytes([i])] for i in range(256)]
+        self.spelt = [[self.byte[x] for x in t] for t in self.token]
         self._windows: dict[tuple[int, ...], tuple[int, ...]] = {}
         self._halves: dict[bytes, tuple[int, ...]] = {}
         self.pieces = Memo(self.piece, 2 * MEMO)
@@ -150,8 +151,8 @@ class BpeMonoid:
         """The encoding of the bytes of a run of tokens, from single bytes up."""
         got = self._windows.get(tokens)
         if got is None:
-            byte = self.byte
-            got = merge_ids([byte[x] for t in tokens for x in self.token[t]], self.pairs)
+            spelt = self.spelt
+            got = merge_ids([x for t in tokens for x in spelt[t]], self.pairs)
             if len(tokens) <= 8:
                 if len(self._windows) >= MEMO:
                     self._windows.clear()
@@ -163,24 +164,27 @@ class BpeMonoid:
         if not a or not b:
             return a or b
         i = j = 1
+        n, m = len(a), len(b)
         while True:
-            w = self.window(a[-i:] + b[:j])
-            left = w[0] == a[-i] or i == len(a)
-            right = w[-1] == b[j - 1] or j == len(b)
+            tokens = a[-i:] + b[:j]
+            w = self._windows.get(tokens) or self.window(tokens)
+            left = i == n or w[0] == tokens[0]
+            right = j == m or w[-1] == tokens[-1]
             if left and right:
                 return a[:-i] + w + b[j:]
             if not left:
-                i = min(2 * i, len(a))
+                i = min(2 * i, n)
             if not right:
-                j = min(2 * j, len(b))
+                j = min(2 * j, m)
 
     def tree(self, data: bytes) -> tuple[int, ...]:
         n = len(data)
-        if n == 1:
-            return self.leaf(data)
-        if n <= HALF and (got := self._halves.get(data)) is not None:
-            return got
-        out = self.join(self.tree(data[: n // 2]), self.tree(data[n // 2 :]))
+        if n <= HALF:
+            if n == 1:
+                return self.leaf(data)
+            if (got := self._halves.get(data)) is not None:
+                return got
+        out = self.join(self.tree(data[: n >> 1]), self.tree(data[n >> 1 :]))
         if n <= HALF:
             if len(self._halves) >= MEMO:
                 self._halves.clear()
