@@ -32,7 +32,7 @@ from scrubwell.llm.common import map_rows, read_table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Entries of one generation of a memo; a memo holds two generations at most.
-MEMO = 240_000
+MEMO = 150_000
 #: Halves of at most so many bytes are remembered too.
 HALF = 8
 #: Letters below this sign are letters to every Unicode version.
