@@ -199,7 +199,12 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", r
 
 def one_of_each(df: DataFrame, *, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """``df`` with the row of least key (then least hash of the text) of each component; a repeated row stays once."""
-    found = cut(near_duplicates(df, key=key, text=text, radius=radius).select("key", "row_hash", "root"))
+    return first_of_each(df, near_duplicates(df, key=key, text=text, radius=radius).select("key", "row_hash", "root"), key=key, text=text)
+
+
+def first_of_each(df: DataFrame, found: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The same for the components of ``found``: ``key``, ``row_hash`` and ``root`` of each row."""
+    found = cut(found)
     rank = F.struct(F.col("key").isNull().alias("no_key"), "key", "row_hash")
     first = found.groupBy("root").agg(F.min(rank).alias("r")).select("root", "r.key", "r.row_hash")
     mine = [F.coalesce("key", F.lit(-1)).alias("__id"), F.col("key").isNull().alias("__null"), F.col("row_hash").alias("__hash")]
