@@ -7,13 +7,16 @@ counts n over the whole corpus of N documents, a term t discloses an entity e if
     PMI(t; e) = log2(N n(t, e) / (n(t) n(e)))  >=  alpha * IC(e),  IC(e) = log2(N / n(e)),
 
 that is, if the term leaves less than the share 1 - alpha of the entity's information untold. n(t, e) counts the
-documents where t stands within ``WINDOW`` words of e; only pairs with ``SUPPORT`` such documents are
-judged, as fewer say nothing. A disclosing term is removed where it stands by a mention of its entity;
+documents where t stands within ``WINDOW`` words of e. Entities are the values, one for all spellings of a number,
+and what values share: an e-mail's domain and its local part, an IP's first three octets, a card's issuer, a
+phone's country and area. Pairs with ``SUPPORT`` such documents are judged by their counts. Most values are in fewer
+documents than that; for those ``DISCOUNT`` is taken off n(t, e), which leaves only terms that are rare
+everywhere. A disclosing term is removed where it stands near a base span of a text that mentions its entity;
 terms from ``alpha`` up to ``remove`` of the information are generalised to their kind instead. Texts without a
 base span stay as they are.
 
 Counts: pairs and entities are aggregated over all documents. Term counts are needed for terms of
-supported pairs only; a bitmap of fixed size lets the other words of a text drop out before the shuffle,
+judged pairs only; a bitmap of fixed size lets the other words of a text drop out before the shuffle,
 and the join that follows is exact. Hashes of 64 bits stand for terms and entities.
 
 Null and empty texts have no span. Repeated rows each count as documents and get equal spans; null ids stay;
@@ -27,6 +30,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -40,6 +44,7 @@ from scrubwell.llm.common import cut, map_rows, read_table
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 10
 SUPPORT = 3
+DISCOUNT = 0.5
 ALPHA = 0.8
 REMOVE = 0.95
 BITMAP_BITS = 23
@@ -118,26 +123,57 @@ def _terms(text: str) -> Iterator[tuple[str, int, int]]:
         yield (term if len(core) >= 3 and any(c.isalpha() for c in core) else ""), a, a + len(core)
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]], window: int) -> list[tuple[int, int, int, int]]:
-    """Entity hash, term hash, start and end for the words around each base span, base spans themselves left out."""
-    words = list(_terms(text))
-    starts = [w[1] for w in words]
+def entities(kind: str, value: str) -> tuple[str, list[str]]:
+    """The entity of a value in its plain spelling, and those of what it shares with others."""
+    if kind == "email":
+        local, _, domain = value.lower().partition("@")
+        return f"email:{local}@{domain}", [f"domain:{domain}", f"person:{local}"]
+    if kind == "ip":
+        octets = [str(int(x.lstrip("0") or "0")) for x in value.split(".")]
+        return f"ip:{'.'.join(octets)}", [f"network:{'.'.join(octets[:3])}"]
+    digits = "".join(c for c in value if "0" <= c <= "9")
+    return f"{kind}:{digits}", [f"issuer:{digits[:6]}" if kind == "card" else f"area:{digits[:4]}"]
+
+
+def _outside(words: list[tuple[str, int, int]], spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The words with '' for those that touch a base span."""
     taken = sorted((a, b) for _, a, b in spans)
     lows = [a for a, _ in taken]
     reach = list(np.maximum.accumulate([b for _, b in taken]))
     out = []
+    for term, s, e in words:
+        k = bisect_left(lows, e) - 1
+        out.append(("" if k >= 0 and reach[k] > s else term, s, e))
+    return out
+
+
+def contexts(text: str, spans: list[tuple[str, int, int]], window: int) -> tuple[list[list[int]], list[list[int]]]:
+    """Distinct entity and term hashes of the words around base spans, for values, then for what they share."""
+    words = _outside(list(_terms(text)), spans)
+    starts = [w[1] for w in words]
+    own, shared = {}, {}
     for kind, a, b in spans:
-        entity = term_hash(f"{kind}:{text[a:b].lower()}")
+        value, groups = entities(kind, text[a:b])
         lo, hi = bisect_left(starts, a), bisect_left(starts, b)
-        for term, s, e in words[max(0, lo - window) : hi + window]:
-            k = bisect_left(lows, e) - 1
-            if term and not (k >= 0 and reach[k] > s):
-                out.append((entity, term_hash(term), s, e))
-    return out
+        around = [term_hash(term) for term, _, _ in words[max(0, lo - window) : hi + window] if term]
+        own.setdefault(term_hash(value), set()).update(around)
+        for g in groups:
+            shared.setdefault(term_hash(g), set()).update(around)
+    flat = lambda of: [[e for e, ts in of.items() for _ in ts], [t for ts in of.values() for t in ts]]
+    return flat(own), flat(shared)
+
+
+def occurrences(text: str, told: dict[int, float]) -> list[tuple[int, int, float]]:
+    """Start, end and ``told`` of each word near base spans whose hash is in ``told``."""
+    spans = base_spans(text)
+    words = _outside(list(_terms(text)), spans)
+    starts = [w[1] for w in words]
+    near = {i for _, a, b in spans for i in range(max(0, bisect_left(starts, a) - WINDOW), min(len(words), bisect_left(starts, b) + WINDOW))}
+    return [(words[i][1], words[i][2], told[h]) for i in sorted(near) if words[i][0] and (h := term_hash(words[i][0])) in told]
 
 
 def scan(df: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Per row: its identity, ``base`` (written spans), counts, digest, and the words around spans."""
+    """Per row: its identity, ``base`` (written spans), counts, digest, pairs of entities and terms, and the text if it has spans."""
     k, t = df[key].cast("long"), df[text].cast("string")
     source = df.select(F.coalesce(k, F.lit(-1)).alias("row_id"), F.xxhash64(k, t).alias("row_hash"), k.alias("key"), t.alias("text"))
 
@@ -146,17 +182,17 @@ def scan(df: DataFrame, *, key: str = "doc_id", text: str = "text", window: int
             spans = base_spans(t) if t else []
             n = Counter(s[0] for s in spans)
             base = written(spans)
-            around = contexts(t, spans, window) if spans else []
-            columns = [list(c) for c in zip(*around)] if around else [[], [], [], []]
-            yield row_id, row_hash, key, *(n[kind] for kind in KINDS), hashlib.sha256(base.encode()).hexdigest(), base, *columns
+            own, shared = contexts(t, spans, window) if spans else ([[], []], [[], []])
+            digest = hashlib.sha256(base.encode()).hexdigest()
+            yield row_id, row_hash, key, *(n[kind] for kind in KINDS), digest, base, *own, *shared, t if spans else None
 
-    longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+    longs = pa.list_(pa.int64())
     schema = pa.schema(
         [(x, pa.int64()) for x in ("row_id", "row_hash", "key", "n_email", "n_ip", "n_card", "n_phone")]
-        + [("base_sha256", pa.string()), ("base", pa.string()), ("entity", longs), ("term", longs), ("start", ints), ("end", ints)]
+        + [("base_sha256", pa.string()), ("base", pa.string()), ("entity", longs), ("term", longs), ("group", longs), ("group_term", longs), ("text", pa.string())]
     )
     names = "row_id long, row_hash long, key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string"
-    return map_rows(source, run, names + ", entity array<long>, term array<long>, start array<int>, end array<int>", schema)
+    return map_rows(source, run, names + ", entity array<long>, term array<long>, group array<long>, group_term array<long>, text string", schema)
 
 
 def _bitmap(terms: DataFrame) -> np.ndarray:
@@ -209,35 +245,52 @@ def term_counts(df: DataFrame, terms: DataFrame, *, text: str = "text") -> DataF
 
 
 def disclosing(
-    df: DataFrame, scanned: DataFrame, *, text: str = "text", support: int = SUPPORT, alpha: float = ALPHA
+    df: DataFrame, scanned: DataFrame, *, text: str = "text", support: int = SUPPORT, alpha: float = ALPHA, wide: bool = False
 ) -> DataFrame:
-    """``entity``, ``term`` and ``told``, the share of the entity's information that the term gives, from ``alpha`` on."""
+    """``entity``, ``term`` and ``told``, the share of the entity's information that the term gives, from ``alpha`` on.
+
+    ``wide``: also entities that values share, and values in fewer than ``support`` documents.
+    """
     marked = scanned.filter(F.size("entity") > 0)
-    pairs = marked.select(F.explode(F.array_distinct(F.arrays_zip("entity", "term"))).alias("p")).select("p.entity", "p.term")
-    both = cut(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support))
-    entities = marked.select(F.explode(F.array_distinct("entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    kinds = [("entity", "term"), ("group", "group_term")][: 1 + wide]
+    rows = [marked.select(F.explode(F.arrays_zip(e, t)).alias("p")).select(F.col(f"p.{e}").alias("entity"), F.col(f"p.{t}").alias("term")) for e, t in kinds]
+    each = [marked.select(F.explode(F.array_distinct(e)).alias("entity"), F.lit(e == "entity").alias("own")) for e, _ in kinds]
+    n_of = reduce(DataFrame.unionAll, each).groupBy("entity", "own").agg(F.count("*").alias("n_entity"))
+    counts = reduce(DataFrame.unionAll, rows).groupBy("entity", "term").agg(F.count("*").alias("n_both")).join(n_of, "entity")
+    enough = F.col("n_both") >= support
+    both = cut(counts.filter(enough | (F.col("own") & (F.col("n_entity") < support) if wide else F.lit(False))))
     total = scanned.count()
-    terms = term_counts(df, both.select("term"), text=text)
-    known = both.join(entities, "entity").join(terms, "term")
+    known = both.join(term_counts(df, both.select("term"), text=text), "term")
     n = F.lit(float(max(1, total)))
     information = F.log2(n / F.col("n_entity"))
-    told = F.log2(n * F.col("n_both") / (F.col("n_term").cast("double") * F.col("n_entity"))) / information
+    seen = F.when(enough, F.col("n_both").cast("double")).otherwise(F.col("n_both") - F.lit(DISCOUNT))
+    told = F.log2(n * seen / (F.col("n_term").cast("double") * F.col("n_entity"))) / information
     return known.filter(F.col("n_entity") < total).withColumn("told", told).filter(F.col("told") >= alpha).select("entity", "term", "told")
 
 
 def term_spans(scanned: DataFrame, told: DataFrame) -> DataFrame:
-    """Per row with a disclosing term: ``terms``, a sorted array of (start, end, told)."""
-    each = scanned.filter(F.size("entity") > 0).select(
-        "row_id", "row_hash", F.explode(F.arrays_zip("entity", "term", "start", "end")).alias("x")
-    ).select("row_id", "row_hash", "x.*")
-    hit = each.join(told, ["entity", "term"]).groupBy("row_id", "row_hash", "start", "end").agg(F.max("told").alias("told"))
-    return hit.groupBy("row_id", "row_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end", "told"))).alias("terms"))
+    """Per row with a disclosing term: ``terms``, a sorted array of (start, end, told) near base spans."""
+    marked = scanned.filter(F.size("entity") > 0)
+    names = ["row_id", "row_hash"]
+    mentions = marked.select(*names, F.explode(F.array_union("entity", "group")).alias("entity")).distinct()
+    hit = mentions.join(told, "entity").groupBy(*names, "term").agg(F.max("told").alias("told"))
+    wanted = hit.groupBy(*names).agg(F.collect_list("term").alias("term"), F.collect_list(F.col("told")).alias("told"))
+    source = wanted.select(*names, "term", "told").join(marked.select(*names, "text").dropDuplicates(names), names)
+
+    def rows(it: Iterator[tuple]) -> Iterator[tuple]:
+        for row_id, row_hash, term, told, t in it:
+            if found := occurrences(t, dict(zip(term, told))):
+                yield row_id, row_hash, [{"start": a, "end": b, "told": x} for a, b, x in found]
+
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("told", pa.float64())]))
+    schema = pa.schema([("row_id", pa.int64()), ("row_hash", pa.int64()), ("terms", kind)])
+    return map_rows(source, rows, "row_id long, row_hash long, terms array<struct<start:int,end:int,told:double>>", schema)
 
 
 def find(df: DataFrame, *, key: str = "doc_id", text: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """Per row: counts and digest of base spans, and ``spans``: base spans and then ``term`` spans."""
     scanned = cut(scan(df, key=key, text=text))
-    extra = term_spans(scanned, disclosing(df, scanned, text=text, support=support, alpha=alpha))
+    extra = term_spans(scanned, disclosing(df, scanned, text=text, support=support, alpha=alpha, wide=True))
     more = F.transform("terms", lambda t: F.concat_ws(":", F.lit("term"), t["start"], t["end"]))
     out = scanned.join(extra, ["row_id", "row_hash"], "left")
     spans = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.concat_ws(",", F.col("base"), F.array_join(more, ",")))
@@ -263,7 +316,7 @@ def redact(text: str, terms: list[tuple[int, int, float]], remove: float = REMOV
 def sanitised(df: DataFrame, *, key: str = "doc_id", text: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """``df`` with its texts redacted, all rows and columns kept."""
     scanned = cut(scan(df, key=key, text=text))
-    extra = term_spans(scanned, disclosing(df, scanned, text=text, support=support, alpha=alpha))
+    extra = term_spans(scanned, disclosing(df, scanned, text=text, support=support, alpha=alpha, wide=True))
     k, t = df[key].cast("long"), df[text].cast("string")
 
     @F.pandas_udf("string")
