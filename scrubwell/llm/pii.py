@@ -11,7 +11,7 @@ documents where t stands within ``WINDOW`` words of e. Entities are the values,
 and what values share: an e-mail's domain and its local part, an IP's first three octets, a card's issuer, a
 phone's country and area. Pairs with ``SUPPORT`` such documents are judged by their counts. Most values are in fewer
 documents than that; for those ``DISCOUNT`` is taken off n(t, e), which leaves only terms that are rare
-everywhere. A disclosing term is removed where it stands near a base span of a text that mentions its entity;
+everywhere. A disclosing term is removed wherever it stands in a text that mentions its entity;
 terms from ``alpha`` up to ``remove`` of the information are generalised to their kind instead. Texts without a
 base span stay as they are.
 
@@ -164,12 +164,9 @@ def contexts(text: str, spans: list[tuple[str, int, int]], window: int) -> tuple
 
 
 def occurrences(text: str, told: dict[int, float]) -> list[tuple[int, int, float]]:
-    """Start, end and ``told`` of each word near base spans whose hash is in ``told``."""
-    spans = base_spans(text)
-    words = _outside(list(_terms(text)), spans)
-    starts = [w[1] for w in words]
-    near = {i for _, a, b in spans for i in range(max(0, bisect_left(starts, a) - WINDOW), min(len(words), bisect_left(starts, b) + WINDOW))}
-    return [(words[i][1], words[i][2], told[h]) for i in sorted(near) if words[i][0] and (h := term_hash(words[i][0])) in told]
+    """Start, end and ``told`` of each word outside base spans whose hash is in ``told``."""
+    words = _outside(list(_terms(text)), base_spans(text))
+    return [(s, e, told[h]) for term, s, e in words if term and (h := term_hash(term)) in told]
 
 
 def scan(df: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -269,7 +266,7 @@ def disclosing(
 
 
 def term_spans(scanned: DataFrame, told: DataFrame) -> DataFrame:
-    """Per row with a disclosing term: ``terms``, a sorted array of (start, end, told) near base spans."""
+    """Per row with a disclosing term: ``terms``, a sorted array of (start, end, told) of all its occurrences in the text."""
     marked = scanned.filter(F.size("entity") > 0)
     names = ["row_id", "row_hash"]
     mentions = marked.select(*names, F.explode(F.array_union("entity", "group")).alias("entity")).distinct()
