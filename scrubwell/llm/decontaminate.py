@@ -9,7 +9,8 @@ shingles themselves: shared distinct shingles of the item, over all of the item'
 Shingles are 5 words ``[^\x20\x09-\x0D]+`` with A-Z lower-cased; a text of fewer words is one shingle, a
 null or empty one has none and neither matches nor is matched. Repeated rows are each reported, ties
 (several items in one document, one text under several items) as a row for each pair. Further columns
-aren't read.
+aren't read. So an item of fewer words than a shingle is only found in a text that is that item; with ``runs``
+it is also found as a run of its words in a longer text. The query does as its SQL, without ``runs``.
 
 The items are the query set. They are taken in blocks of bounded size; a block's sketches travel to
 the executors, and each block is one pass over the documents. Nothing of the documents is shuffled.
@@ -65,6 +66,8 @@ class Index:
 
     shingle: int
     threshold: tuple[int, int]
+    runs: bool = False
+    short: dict[int, dict[bytes, list[int]]] = field(default_factory=dict)
     sets: list[tuple[int, frozenset[bytes]]] = field(default_factory=list)
     by_hash: dict[int, list[int]] = field(default_factory=lambda: defaultdict(list))
     bitmap: np.ndarray = field(default_factory=lambda: np.zeros(1 << FILTER_BITS, bool))
@@ -77,6 +80,8 @@ class Index:
         distinct = frozenset(shingles(words, self.shingle))
         at = len(self.sets)
         self.sets.append((item_id, distinct))
+        if self.runs and len(words) < self.shingle:
+            self.short.setdefault(len(words), {}).setdefault(b" ".join(words), []).append(at)
         for h in sorted(whole)[: sketch_size(len(distinct), self.threshold)]:
             self.by_hash[h].append(at)
             self.bitmap[h & ((1 << FILTER_BITS) - 1)] = True
@@ -84,6 +89,16 @@ class Index:
     def search(self, data: bytes) -> list[tuple[int, int, int]]:
         """Item, its shingles, and those of them in the text, for each item contained enough."""
         words = data.lower().split()
+        return self._long(words) + self._runs(words)
+
+    def _runs(self, words: list[bytes]) -> list[tuple[int, int, int]]:
+        """Items shorter than a shingle in a text that isn't."""
+        if not self.short or len(words) < self.shingle:
+            return []
+        found = {i for n, items in self.short.items() for run in {*shingles(words, n)} & items.keys() for i in items[run]}
+        return [(self.sets[i][0], 1, 1) for i in sorted(found)]
+
+    def _long(self, words: list[bytes]) -> list[tuple[int, int, int]]:
         hashes = shingle_hashes(words, self.shingle)
         near = self.bitmap[(hashes & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)]
         if not near.any():
@@ -160,11 +175,14 @@ def contaminated(
 
 def clean(
     docs: DataFrame, items: DataFrame, *, text: str = "text", item_key: str = "item_id", item_text: str = "text",
-    shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD, block_bytes: int = BLOCK_BYTES,
+    shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD, block_bytes: int = BLOCK_BYTES, runs: bool = False,
 ) -> DataFrame:
-    """The rows of ``docs``, as they are, that contain no item; the same search, as a filter for each block."""
+    """The rows of ``docs``, as they are, that contain no item; the same search, as a filter for each block.
+
+    ``runs``: items shorter than a shingle also count as runs of words of longer texts.
+    """
     for block in blocks(items, item_key, item_text, block_bytes):
-        index = Index(shingle, threshold)
+        index = Index(shingle, threshold, runs)
         for item_id, t in block:
             index.add(item_id, t)
         sent = docs.sparkSession.sparkContext.broadcast(index)
