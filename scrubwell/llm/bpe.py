@@ -6,10 +6,15 @@ out unchanged. That suffices: a token sequence is the BPE encoding of its bytes
 adjacent pair of its tokens encodes to itself. (Inside the segment of such a pair, BPE on the whole
 picks the same merges in the same order as BPE on the pair alone, so the first merge across a
 boundary would also happen in the pair.) Pairs outside the window come from encodings already, and
-so do those at the window's rim once its outer tokens are unchanged.
+so do those at the window's rim once its outer tokens are unchanged. Whether the two tokens at a boundary are such
+a pair is found without encoding them, by undoing their merges from the last one on (``apart``); if so, the window
+is empty.
 
 The pre-tokenizer's pieces never merge with each other, so above the level of pieces the join is plain
-concatenation, and decoding concatenates at every level.
+concatenation, and decoding concatenates neighbours at every level of a tree.
+
+Workers remember chunks, pieces and what they decode to, in memos bounded by entries and by the length of an
+entry; longer ones, as texts without spaces have them, are made anew each time. So memory doesn't grow with the input.
 
 Nulls count as empty text; an empty text has no tokens. Each row is handled alone, so ties, repeated
 rows, empty tables and further columns make no difference; further input columns aren't read.
@@ -33,8 +38,12 @@ from scrubwell.llm.common import map_rows, read_table
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Entries of one generation of a memo; a memo holds two generations at most.
 MEMO = 150_000
+#: Longer keys aren't remembered.
+LONG = 64
 #: Halves of at most so many bytes are remembered too.
 HALF = 8
+#: Halving may go by so many bytes off the middle.
+REACH = 3
 #: Letters below this sign are letters to every Unicode version.
 LATIN = "\u0250"
 
@@ -49,16 +58,6 @@ NONE = 1 << 30
 SHIFT = 20
 
 
-def pair_table(ranks: dict[bytes, int]) -> dict[int, int]:
-    """``left << SHIFT | right`` to the token of both together, for every cut of every token."""
-    return {
-        ranks[t[:i]] << SHIFT | ranks[t[i:]]: r
-        for t, r in ranks.items()
-        for i in range(1, len(t))
-        if t[:i] in ranks and t[i:] in ranks
-    }
-
-
 def merge_ids(parts: list[int], pairs: dict[int, int]) -> tuple[int, ...]:
     """Plain BPE over byte tokens: lowest rank first, leftmost among equals; ids are ranks."""
     get = pairs.get
@@ -110,13 +109,15 @@ _BLANKS = re.compile(r"\s ")
 
 
 class Memo(dict):
-    """A bounded memo of ``make``: when full, the younger generation becomes the older one."""
+    """A memo of ``make``, bounded in entries and their length: when full, the younger generation becomes the older one."""
 
     def __init__(self, make, limit: int = MEMO):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
+        if len(key) > LONG:
+            return self.make(key)
         got = self.old.get(key)
         if got is None:
             got = self.make(key)
@@ -136,13 +137,54 @@ class BpeMonoid:
         for b, r in ranks.items():
             self.token[r] = b
         self.decimal = [str(i) for i in range(len(self.token))]
+        self.spelling = dict(zip(self.decimal, self.token))
         self.find = regex.compile(pattern).findall
-        self.pairs = pair_table(ranks)
         self.byte = [ranks[bytes([i])] for i in range(256)]
         self.spelt = [[self.byte[x] for x in t] for t in self.token]
+        #: ``left << SHIFT | right`` to the token that the last merge of its bytes makes of the two. A token never comes of
+        #: another pair: until then all merges in its bytes are those of BPE on them alone.
+        self.pairs: dict[int, int] = {}
+        self.left, self.right = list(range(len(self.token))), list(range(len(self.token)))
+        for t, r in sorted(ranks.items(), key=lambda x: x[1]):
+            for i in range(1, len(t)):
+                x, y = ranks.get(t[:i], NONE), ranks.get(t[i:], NONE)
+                if x < r and y < r and self.apart(x, y, r):
+                    self.left[r], self.right[r] = x, y
+                    self.pairs[x << SHIFT | y] = r
+                    break
+        #: In how many tokens two bytes stand together.
+        self.seam = [0] * (1 << 16)
+        for t in self.token:
+            for a, b in zip(t, t[1:]):
+                self.seam[a << 8 | b] += 1
         self._windows: dict[tuple[int, ...], tuple[int, ...]] = {}
-        self._halves: dict[bytes, tuple[int, ...]] = {}
-        self.pieces = Memo(self.piece, 2 * MEMO)
+        #: Tokens that their own bytes encode to; the leaves of every tree are among them.
+        self.whole = {t: (r,) for t, r in ranks.items() if len(t) == 1 or self.left[r] != r}
+        self._halves = dict(self.whole)
+
+    def apart(self, x: int, y: int, limit: int = NONE) -> bool:
+        """Whether two tokens, side by side, encode to themselves.
+
+        Their merges are undone, the latest first. At each step the two tokens that then meet at the boundary would
+        have been merged instead if their pair ranks below the merge just undone (on its right side: not above it,
+        since of equal ranks the leftmost goes first).
+        """
+        get, left, right = self.pairs.get, self.left, self.right
+        while True:
+            if get(x << SHIFT | y, NONE) < limit:
+                return False
+            if x > y:
+                limit, x = x, right[x]
+                if x == limit:
+                    limit, y = y + 1, left[y]
+                    if y + 1 == limit:
+                        return True
+            else:
+                limit, y = y + 1, left[y]
+                if y + 1 == limit:
+                    limit, x = x, right[x]
+                    if x == limit:
+                        return True
 
     def leaf(self, byte: bytes) -> tuple[int, ...]:
         return (self.ranks[byte],)
@@ -163,6 +205,8 @@ class BpeMonoid:
         """The encoding of two neighbours from their encodings; associative, the empty tuple is neutral."""
         if not a or not b:
             return a or b
+        if self.apart(a[-1], b[0]):
+            return a + b
         i = j = 1
         n, m = len(a), len(b)
         while True:
@@ -177,17 +221,24 @@ class BpeMonoid:
             if not right:
                 j = min(2 * j, m)
 
+    def middle(self, data: bytes, n: int) -> int:
+        """Where to halve: around the middle, between the two bytes that stand together in the fewest tokens."""
+        seam, half, reach = self.seam, n >> 1, min(n >> 2, REACH)
+        best, at = 1 << 30, half
+        for i in range(half - reach, half + reach + 1):
+            if (k := seam[data[i - 1] << 8 | data[i]]) < best:
+                best, at = k, i
+        return at
+
     def tree(self, data: bytes) -> tuple[int, ...]:
+        if (got := self._halves.get(data)) is not None:
+            return got
         n = len(data)
-        if n <= HALF:
-            if n == 1:
-                return self.leaf(data)
-            if (got := self._halves.get(data)) is not None:
-                return got
-        out = self.join(self.tree(data[: n >> 1]), self.tree(data[n >> 1 :]))
+        at = self.middle(data, n)
+        out = self.join(self.tree(data[:at]), self.tree(data[at:]))
         if n <= HALF:
             if len(self._halves) >= MEMO:
-                self._halves.clear()
+                self._halves = dict(self.whole)
             self._halves[data] = out
         return out
 
@@ -196,18 +247,18 @@ class BpeMonoid:
         whole = self.ranks.get(data)
         return (whole,) if whole is not None else self.tree(data)
 
-    def encode(self, text: str) -> list[int]:
-        word = text[1:] if text[:1] == " " else text
-        if word.isalpha() and max(word) < LATIN:  # one piece: the pattern's ` ?\\p{L}+`
-            return list(self.pieces[text])
-        out: list[int] = []
-        for p in self.find(text):
-            out += self.pieces[p] if len(p) <= 40 else self.piece(p)
-        return out
-
     def decode(self, ids) -> bytes:
-        token = self.token
-        return b"".join([token[i] for i in ids])
+        return concatenated([self.token[i] for i in ids])
+
+
+def concatenated(parts: list[bytes]) -> bytes:
+    """Neighbours joined level by level, up to the root."""
+    while len(parts) > 2:
+        above = [a + b for a, b in zip(parts[::2], parts[1::2])]
+        if len(parts) & 1:
+            above.append(parts[-1])
+        parts = above
+    return parts[0] + parts[1] if len(parts) == 2 else parts[0] if parts else b""
 
 
 class Codec:
@@ -215,21 +266,29 @@ class Codec:
 
     A text is cut before each space that follows a character other than white space. The pattern has a
     boundary there in any case (only a white-space piece goes on across a space, and that begins
-    earlier only in white space), so the chunks can be encoded and remembered one by one.
+    earlier only in white space), so the chunks can be encoded and remembered one by one. So are the pieces
+    of a chunk of several.
     """
 
     def __init__(self, monoid: BpeMonoid):
         self.monoid = monoid
         self.head = Memo(self._ids)
-        self.tail = Memo(lambda chunk: self._ids(" " + chunk))
+        self.tail = Memo(lambda chunk: self._ids(" " + chunk), 2 * MEMO)
         self.back = Memo(self._decode)
 
     def _ids(self, chunk: str) -> str:
-        decimal = self.monoid.decimal
-        return ",".join([decimal[i] for i in self.monoid.encode(chunk)])
+        m = self.monoid
+        word = chunk[1:] if chunk[:1] == " " else chunk
+        if not (word.isalpha() and max(word) < LATIN):  # else one piece: the pattern's ` ?\\p{L}+`
+            pieces = m.find(chunk)
+            if len(pieces) > 1:
+                return ",".join([self.tail[p[1:]] if p[0] == " " else self.head[p] for p in pieces])
+        decimal = m.decimal
+        return ",".join([decimal[i] for i in m.piece(chunk)])
 
     def _decode(self, ids: str) -> bytes:
-        return self.monoid.decode(map(int, ids.split(",")))
+        spelling = self.monoid.spelling
+        return concatenated([spelling[i] for i in ids.split(",")])
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -254,7 +313,7 @@ class Codec:
 
     def bytes_of(self, ids: list[str]) -> bytes:
         back = self.back
-        return b"".join([back[i] for i in ids])
+        return concatenated([back[i] for i in ids])
 
 
 _CODECS: dict[str, Codec] = {}

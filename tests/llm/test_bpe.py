@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import public_tokenizers
 import pytest
@@ -42,9 +43,51 @@ def test_long_runs(text):
 
 
 def test_memo_turns_over():
-    memo = bpe.Memo(lambda k: k + 1, limit=3)
-    assert [memo[i] for i in range(20)] == [i + 1 for i in range(20)]
+    memo = bpe.Memo(lambda k: k + "!", limit=3)
+    assert [memo[str(i)] for i in range(20)] == [f"{i}!" for i in range(20)]
     assert len(memo) + len(memo.old) <= 6
+    assert memo["x" * 1000] == "x" * 1000 + "!" and all(len(k) <= bpe.LONG for k in [*memo, *memo.old])
+
+
+def test_texts_without_spaces_are_not_remembered():
+    """Two thousand texts of some 15 KB: the memos hold none of them, so what they hold doesn't grow with such texts."""
+    r = random.Random(1)
+    c = bpe.Codec(MONOID)
+    signs = "".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(300))
+    for i in range(2000):
+        text = signs[i % 300 :] + signs * 16 + str(i)
+        if i < 3:
+            ids_ = c.ids_text(text)
+            assert [int(x) for k in ids_ for x in k.split(",")] == REFERENCE.encode_ordinary(text) and c.bytes_of(ids_) == text.encode()
+        else:
+            c.head.make, c.back.make = str, str.encode  # only what is remembered counts from here
+            c.bytes_of(c.ids_text(text))
+    held = [k for m in (c.head, c.tail, c.back) for k in (*m, *m.old)]
+    assert all(len(k) <= bpe.LONG for k in held) and len(held) < 50 and len(MONOID._halves) <= bpe.MEMO
+
+
+def test_apart_says_what_encoding_says():
+    r = random.Random(2)
+    tokens = [t for t in MONOID.whole if len(t) < 9]
+    for _ in range(20000):
+        x, y = r.choice(tokens), r.choice(tokens)
+        pair = (RANKS[x], RANKS[y])
+        assert MONOID.apart(*pair) == (bpe.merge_ids([MONOID.byte[i] for i in x + y], MONOID.pairs) == pair)
+
+
+def test_merges_by_last_pairs_are_the_library_s():
+    """The restricted table of pairs against merging whatever adjacent tokens make a token."""
+    r = random.Random(4)
+    for _ in range(3000):
+        data = "".join(r.choice("etaoinshrdlu éß日") for _ in range(r.randrange(1, 14))).encode()
+        parts = [bytes([b]) for b in data]
+        while True:
+            ranks = [RANKS.get(a + b, 1 << 30) for a, b in zip(parts, parts[1:])]
+            if not ranks or min(ranks) == 1 << 30:
+                break
+            i = ranks.index(min(ranks))
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert MONOID.tree(data) == tuple(RANKS[p] for p in parts)
 
 
 def test_query_columns(docs):
