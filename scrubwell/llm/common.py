@@ -92,6 +92,49 @@ def crc_mod(doc_id: Any, mod: int) -> Any:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % mod
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The names, each with underscores added until ``df`` has no column of it (in any case of its letters)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: 64-bit words of a row filter; so a broadcast of 16 MB at most before Spark's own overhead.
+FILTER_WORDS = 1 << 20
+
+
+def maybe_in(df: DataFrame, column: str, hashes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df`` split into the rows whose hash in ``column`` may be among ``hashes`` (one column), and those where it isn't.
+
+    A bitmap of a fixed number of bits, in a broadcast table of words. With more than some ``64 * FILTER_WORDS`` hashes most
+    rows may be among them; the result of what follows is the same, it only has more rows to shuffle.
+    """
+    word, bits = free_names(df, "word", "bits")
+    n = FILTER_WORDS * 64
+    table = hashes.toDF("h").select(F.pmod("h", F.lit(n)).alias("h")).groupBy(F.expr("h div 64").alias(word)).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias(bits)
+    )
+    table = cut(table)  # at most ``FILTER_WORDS`` rows
+    marked = df.withColumn(word, F.expr(f"pmod(`{column}`, {n}L) div 64")).join(F.broadcast(table), word, "left")
+    hit = F.coalesce(F.expr(f"getbit({bits}, cast(pmod(`{column}`, 64) as int)) = 1"), F.lit(False))
+    return marked.filter(hit).drop(word, bits), marked.filter(~hit).drop(word, bits)
+
+
+def without_rows(df: DataFrame, identity: list[Any], gone: DataFrame) -> DataFrame:
+    """``df`` without the rows whose ``identity`` (columns that aren't null, the last one a hash) is among the rows of ``gone``.
+
+    Only rows that a filter of fixed size can't tell from those are shuffled; all others stay where they are read.
+    """
+    names = free_names(df, *[f"id{i}" for i in range(len(identity))])
+    gone = cut(gone.toDF(*names))
+    named = df.withColumns(dict(zip(names, identity)))
+    maybe, rest = maybe_in(named, names[-1], gone.select(names[-1]))
+    same = [F.col("`" + c.replace("`", "``") + "`") for c in rest.columns]
+    return rest.unionAll(maybe.join(gone.hint("shuffle_hash"), names, "left_anti").select(*same)).drop(*names)
 
 
 def release(df: DataFrame) -> None:
