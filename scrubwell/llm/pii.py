@@ -11,16 +11,18 @@ documents where t stands within ``WINDOW`` words of e. Entities are the values,
 and what values share: an e-mail's domain and its local part, an IP's first three octets, a card's issuer, a
 phone's country and area. Pairs with ``SUPPORT`` such documents are judged by their counts. Most values are in fewer
 documents than that; for those ``DISCOUNT`` is taken off n(t, e), which leaves only terms that are rare
-everywhere. A disclosing term is removed wherever it stands in a text that mentions its entity;
-terms from ``alpha`` up to ``remove`` of the information are generalised to their kind instead. Texts without a
-base span stay as they are.
+everywhere. A disclosing term is removed wherever it stands in a text that mentions its entity, and, if its pair has the
+support, in every other text too, as it tells the entity there as well. (Without support a pair is one meeting of two rare
+things, which says nothing about a text with only one of them.) Terms from ``alpha`` up to ``remove`` of the information
+are generalised to their kind instead.
 
 Counts: pairs and entities are aggregated over all documents. Term counts are needed for terms of
 judged pairs only; a bitmap of fixed size lets the other words of a text drop out before the shuffle,
-and the join that follows is exact. Hashes of 64 bits stand for terms and entities.
+and the join that follows is exact. Hashes of 64 bits stand for terms and entities. Words that a worker remembers are
+bounded in number and length.
 
 Null and empty texts have no span. Repeated rows each count as documents and get equal spans; null ids stay;
-an empty table gives an empty result; further columns aren't read.
+an empty table gives an empty result; further columns aren't read, and keep their values whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubwell.llm.common import cut, map_rows, read_table
+from scrubwell.llm.common import cut, free_names, map_rows, maybe_in, read_table
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 10
@@ -50,6 +52,8 @@ REMOVE = 0.95
 BITMAP_BITS = 23
 #: Distinct terms whose counts a task holds before it hands them on.
 HELD_TERMS = 200_000
+#: Bytes of the longest word that a task remembers.
+LONG_WORD = 64
 
 _HINT = re.compile(r"[0-9@]")
 _LOCAL_SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -204,33 +208,46 @@ def _bitmap(terms: DataFrame) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
+class _Wanted:
+    """The terms of a text whose hashes a bitmap has."""
+
+    def __init__(self, packed: np.ndarray):
+        self.bits, self.mask = np.unpackbits(packed).astype(bool), (1 << BITMAP_BITS) - 1
+        self.known: dict[bytes, int | None] = {}
+
+    def _hash(self, word: bytes) -> int | None:
+        core = word.decode().strip(_EDGE)
+        if len(core) < 3:
+            return None
+        h = term_hash(core.lower())
+        return h if self.bits[h & self.mask] else None
+
+    def terms(self, data: bytes) -> set[int]:
+        known, found = self.known, set()
+        for w in set(data.split()):
+            if w in known:
+                h = known[w]
+            else:
+                h = self._hash(w)
+                if len(w) <= LONG_WORD:
+                    if len(known) >= HELD_TERMS:
+                        known.clear()
+                    known[w] = h
+            if h is not None:
+                found.add(h)
+        return found
+
+
 def term_counts(df: DataFrame, terms: DataFrame, *, text: str = "text") -> DataFrame:
     """``term`` and ``n_term``, the documents with it, for the given hashes (and some that share their bits)."""
     sent = df.sparkSession.sparkContext.broadcast(np.packbits(_bitmap(terms)))
     mask = (1 << BITMAP_BITS) - 1
 
     def run(it: Iterator[tuple]) -> Iterator[tuple]:
-        wanted = np.unpackbits(sent.value).astype(bool)
-        known: dict[bytes, int | None] = {}
+        look_up = _Wanted(sent.value)
         held: Counter[int] = Counter()
         for (data,) in it:
-            found = set()
-            for w in set(data.split()):
-                if w in known:
-                    h = known[w]
-                else:
-                    h = None
-                    core = w.decode().strip(_EDGE)
-                    if len(core) >= 3:
-                        h = term_hash(core.lower())
-                        if not wanted[h & mask]:
-                            h = None
-                    if len(known) >= HELD_TERMS:
-                        known.clear()
-                    known[w] = h
-                if h is not None:
-                    found.add(h)
-            held.update(found)
+            held.update(look_up.terms(data))
             if len(held) >= HELD_TERMS:
                 yield from held.items()
                 held.clear()
@@ -244,7 +261,8 @@ def term_counts(df: DataFrame, terms: DataFrame, *, text: str = "text") -> DataF
 def disclosing(
     df: DataFrame, scanned: DataFrame, *, text: str = "text", support: int = SUPPORT, alpha: float = ALPHA, wide: bool = False
 ) -> DataFrame:
-    """``entity``, ``term`` and ``told``, the share of the entity's information that the term gives, from ``alpha`` on.
+    """``entity``, ``term``, ``told``, the share of the entity's information that the term gives, from ``alpha`` on,
+    and ``spread``, whether it has the support and is in texts too where it isn't beside the entity.
 
     ``wide``: also entities that values share, and values in fewer than ``support`` documents.
     """
@@ -262,11 +280,17 @@ def disclosing(
     information = F.log2(n / F.col("n_entity"))
     seen = F.when(enough, F.col("n_both").cast("double")).otherwise(F.col("n_both") - F.lit(DISCOUNT))
     told = F.log2(n * seen / (F.col("n_term").cast("double") * F.col("n_entity"))) / information
-    return known.filter(F.col("n_entity") < total).withColumn("told", told).filter(F.col("told") >= alpha).select("entity", "term", "told")
+    return known.filter(F.col("n_entity") < total).withColumn("told", told).filter(F.col("told") >= alpha).select(
+        "entity", "term", "told", (enough & (F.col("n_term") > F.col("n_both"))).alias("spread")
+    )
 
 
-def term_spans(scanned: DataFrame, told: DataFrame) -> DataFrame:
+_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("told", pa.float64())]))
+
+
+def term_spans(df: DataFrame, scanned: DataFrame, told: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row with a disclosing term: ``terms``, a sorted array of (start, end, told) of all its occurrences in the text."""
+    told = cut(told)
     marked = scanned.filter(F.size("entity") > 0)
     names = ["row_id", "row_hash"]
     mentions = marked.select(*names, F.explode(F.array_union("entity", "group")).alias("entity")).distinct()
@@ -279,18 +303,43 @@ def term_spans(scanned: DataFrame, told: DataFrame) -> DataFrame:
             if found := occurrences(t, dict(zip(term, told))):
                 yield row_id, row_hash, [{"start": a, "end": b, "told": x} for a, b, x in found]
 
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("told", pa.float64())]))
-    schema = pa.schema([("row_id", pa.int64()), ("row_hash", pa.int64()), ("terms", kind)])
-    return map_rows(source, rows, "row_id long, row_hash long, terms array<struct<start:int,end:int,told:double>>", schema)
+    schema = pa.schema([("row_id", pa.int64()), ("row_hash", pa.int64()), ("terms", _SPAN)])
+    beside = map_rows(source, rows, "row_id long, row_hash long, terms array<struct<start:int,end:int,told:double>>", schema)
+    spread = cut(told.filter("spread").groupBy("term").agg(F.max("told").alias("told")))
+    if spread.isEmpty():
+        return beside
+    flat = beside.select(*names, F.inline("terms")).unionAll(_everywhere(df, spread, key=key, text=text))
+    each = flat.groupBy(*names, "start", "end").agg(F.max("told").alias("told"))
+    return each.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("start", "end", "told"))).alias("terms"))
+
+
+def _everywhere(df: DataFrame, spread: DataFrame, *, key: str, text: str) -> DataFrame:
+    """``row_id``, ``row_hash``, ``start``, ``end``, ``told`` of the given terms in all texts. One pass; a bitmap finds candidates."""
+    sent = df.sparkSession.sparkContext.broadcast(np.packbits(_bitmap(spread.select("term"))))
+
+    def run(it: Iterator[tuple]) -> Iterator[tuple]:
+        look_up = _Wanted(sent.value)
+        for row_id, row_hash, data in it:
+            if found := look_up.terms(data):
+                t = data.decode()
+                for term, a, b in _outside(list(_terms(t)), base_spans(t)):
+                    if term and (h := term_hash(term)) in found:
+                        yield row_id, row_hash, h, a, b
+
+    k, t = df[key].cast("long"), df[text].cast("string")
+    source = df.select(F.coalesce(k, F.lit(-1)).alias("row_id"), F.xxhash64(k, t).alias("row_hash"), t.alias("text")).filter("text is not null")
+    schema = pa.schema([(x, pa.int64()) for x in ("row_id", "row_hash", "term")] + [("start", pa.int32()), ("end", pa.int32())])
+    found = map_rows(source, run, "row_id long, row_hash long, term long, start int, end int", schema, binary=("text",))
+    return found.join(spread, "term").select("row_id", "row_hash", "start", "end", "told")
 
 
 def find(df: DataFrame, *, key: str = "doc_id", text: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """Per row: counts and digest of base spans, and ``spans``: base spans and then ``term`` spans."""
     scanned = cut(scan(df, key=key, text=text))
-    extra = term_spans(scanned, disclosing(df, scanned, text=text, support=support, alpha=alpha, wide=True))
+    extra = term_spans(df, scanned, disclosing(df, scanned, text=text, support=support, alpha=alpha, wide=True), key=key, text=text)
     more = F.transform("terms", lambda t: F.concat_ws(":", F.lit("term"), t["start"], t["end"]))
     out = scanned.join(extra, ["row_id", "row_hash"], "left")
-    spans = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.concat_ws(",", F.col("base"), F.array_join(more, ",")))
+    spans = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.concat_ws(",", F.nullif("base", F.lit("")), F.array_join(more, ",")))
     return out.select(
         F.col("key").alias(key), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans")
     )
@@ -311,9 +360,10 @@ def redact(text: str, terms: list[tuple[int, int, float]], remove: float = REMOV
 
 
 def sanitised(df: DataFrame, *, key: str = "doc_id", text: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """``df`` with its texts redacted, all rows and columns kept."""
+    """``df`` with its texts redacted, all rows and columns kept. Only rows that may have a disclosing term are shuffled."""
     scanned = cut(scan(df, key=key, text=text))
-    extra = term_spans(scanned, disclosing(df, scanned, text=text, support=support, alpha=alpha, wide=True))
+    told = disclosing(df, scanned, text=text, support=support, alpha=alpha, wide=True)
+    extra = cut(term_spans(df, scanned, told, key=key, text=text))
     k, t = df[key].cast("long"), df[text].cast("string")
 
     @F.pandas_udf("string")
@@ -324,10 +374,15 @@ def sanitised(df: DataFrame, *, key: str = "doc_id", text: str = "text", alpha:
         ]
         return pd.Series(done, dtype=object)
 
-    named = df.withColumns({"__row_id": F.coalesce(k, F.lit(-1)), "__row_hash": F.xxhash64(k, t)})
-    side = extra.select(F.col("row_id").alias("__row_id"), F.col("row_hash").alias("__row_hash"), F.col("terms").alias("__terms"))
-    joined = named.join(side.hint("shuffle_hash"), ["__row_id", "__row_hash"], "left")
-    return joined.withColumn(text, rewrite(F.col(text).cast("string"), "__terms")).select(*df.columns)
+    row_id, row_hash, terms = free_names(df, "row_id", "row_hash", "terms")
+    named = df.withColumns({row_id: F.coalesce(k, F.lit(-1)), row_hash: F.xxhash64(k, t)})
+    side = extra.select(F.col("row_id").alias(row_id), F.col("row_hash").alias(row_hash), F.col("terms").alias(terms))
+    maybe, rest = maybe_in(named, row_hash, extra.select("row_hash"))
+    both = maybe.join(side.hint("shuffle_hash"), [row_id, row_hash], "left"), rest.withColumn(terms, F.lit(None).cast(side.schema[terms].dataType))
+    columns = [
+        (rewrite(named[x].cast("string"), F.col(terms)).alias(x) if x == text else named[x]) for x in df.columns
+    ]
+    return both[0].select(*columns).unionAll(both[1].select(*columns))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

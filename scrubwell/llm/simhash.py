@@ -14,7 +14,8 @@ returns a spanning forest of its links, not all pairs.
 
 Words are ``[^\x20\x09-\x0D]+`` with A-Z lower-cased; a text of fewer than three words is one shingle; null,
 empty and blank texts have fingerprint zero and link like any other. Repeated rows and ids stay, each
-with its component; an empty table gives an empty result; further columns aren't read.
+with its component; an empty table gives an empty result; further columns aren't read, and keep their values whatever
+their names.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubwell.llm.common import cut, map_rows, read_table
+from scrubwell.llm.common import cut, free_names, map_rows, maybe_in, read_table, without_rows
 from scrubwell.llm.components import components
 
 SHINGLE = 3
@@ -207,19 +208,22 @@ def first_of_each(df: DataFrame, found: DataFrame, *, key: str = "doc_id", text:
     found = cut(found)
     rank = F.struct(F.col("key").isNull().alias("no_key"), "key", "row_hash")
     first = found.groupBy("root").agg(F.min(rank).alias("r")).select("root", "r.key", "r.row_hash")
-    mine = [F.coalesce("key", F.lit(-1)).alias("__id"), F.col("key").isNull().alias("__null"), F.col("row_hash").alias("__hash")]
+    mine = [F.coalesce("key", F.lit(-1)).alias("id"), F.col("key").isNull().alias("no_id"), F.col("row_hash").alias("hash")]
     rows = found.groupBy("root", "key", "row_hash").agg(F.count("*").alias("n"))
     same = (F.col("f.root") == F.col("r.root")) & F.col("f.key").eqNullSafe(F.col("r.key")) & (F.col("f.row_hash") == F.col("r.row_hash"))
     losers = rows.alias("r").join(first.alias("f"), same, "left_anti").select(*mine)
     again = cut(rows.alias("r").join(first.alias("f"), same, "left_semi").filter("n > 1").select(*mine))
     k, t = df[key].cast("long"), df[text].cast("string")
-    names = ["__id", "__null", "__hash"]
-    named = df.withColumns({"__id": F.coalesce(k, F.lit(-1)), "__null": k.isNull(), "__hash": F.xxhash64(k, t)})
-    kept = named.join(losers.hint("shuffle_hash"), names, "left_anti")
-    if not again.isEmpty():
-        single = kept.join(again.hint("shuffle_hash"), names, "left_anti")
-        kept = single.unionByName(kept.join(again.hint("shuffle_hash"), names, "left_semi").dropDuplicates(names))
-    return kept.select(*df.columns)
+    identity = [F.coalesce(k, F.lit(-1)), k.isNull(), F.xxhash64(k, t)]
+    kept = without_rows(df, identity, losers)
+    if again.isEmpty():
+        return kept
+    names = free_names(df, "id", "no_id", "hash")
+    maybe, single = maybe_in(df.withColumns(dict(zip(names, identity))), names[-1], again.select("hash"))
+    rest = without_rows(maybe.drop(*names), identity, again)
+    once = maybe.join(again.toDF(*names).hint("shuffle_hash"), names, "left_semi").dropDuplicates(names)
+    whole = single.drop(*names).unionAll(rest).unionAll(once.select(*[once[c] for c in df.columns]))
+    return without_rows(whole, identity, losers)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import pytest
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, row_id long, fp long"
+CLASHES = "key row_id fp row_hash id no_id hash word bits terms term told id0 id1 id2 __id __null __hash __row_id __row_hash __terms".split()
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)
 
 
 @pytest.fixture
@@ -9,6 +10,6 @@ def docs(spark):
 
     def make(texts):
         rows = [t if isinstance(t, tuple) else (i, t) for i, t in enumerate(texts)]
-        return spark.createDataFrame([(i, t, None, "s", None, "k", 7, 8) for i, t in rows], DOCS)
+        return spark.createDataFrame([(i, t, None, "s", None, *CLASHES) for i, t in rows], DOCS)
 
     return make
