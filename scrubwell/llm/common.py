@@ -92,6 +92,17 @@ def crc_mod(doc_id: Any, mod: int) -> Any:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % mod
 
 
+def bounded(df: DataFrame, order: list[Any], rows: int) -> DataFrame:
+    """The rows of ``df`` of the ``rows`` least identities by ``order``, whose last column is ``hash``, of all of a row.
+
+    The identities are a top-k, of which each task keeps ``rows`` at most; texts don't travel for it. Equal rows share an
+    identity, so callers drop repeats of ``hash`` before anything reaches the driver.
+    """
+    named = [o.alias(f"o{i}") for i, o in enumerate(order)]
+    least = df.select(*named).orderBy(*[f"o{i}" for i in range(len(order))]).limit(rows).select(F.col(f"o{len(order) - 1}").alias("hash"))
+    return df.join(F.broadcast(least.distinct()), "hash", "left_semi")
+
+
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """The names, each with underscores added until ``df`` has no column of it (in any case of its letters)."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -8,8 +8,8 @@ a sum over a small table. On a part of the sample held back from training, the s
 a temperature, and the rejection threshold is set to the score that all but ``alpha`` of the rightly
 recognised texts reach (never above ``ceiling``).
 
-Sample: the ``sample_rows`` labelled rows of least hash of the id. Its rows' subword counts are made on the
-executors and have at most as many entries as there are buckets. Null texts and texts without a letter
+Sample: the ``sample_rows`` labelled rows of least hash of the id, cut to that many on the executors also where rows
+share an id; equal rows count once. Their subword counts are made on the executors and have at most as many entries as there are buckets. Null texts and texts without a letter
 are ``und`` with score 0 and rejected; so is every text where there are no labelled rows. Ties between
 languages go to the first in the alphabet. Repeated rows get equal predictions, an empty table gives an
 empty result; further columns aren't read.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubwell.llm.common import crc_mod, map_rows, read_table
+from scrubwell.llm.common import bounded, crc_mod, map_rows, read_table
 
 BUCKET_BITS = 15
 ORDERS = (2, 3, 4)
@@ -139,23 +139,23 @@ def sample(df: DataFrame, *, key: str, text: str, label: str, rows: int) -> list
     """Subword counts of the ``rows`` labelled rows of least hash of the id."""
     order = [F.xxhash64("key"), F.col("key")]
     usable = df.select(df[key].cast("long").alias("key"), df[text].cast("string").alias("text"), df[label].cast("string").alias("label"))
-    usable = usable.filter("key is not null and text is not null and label is not null")
-    ids = usable.select("key").orderBy(*order).limit(rows).distinct()
-    chosen = usable.join(F.broadcast(ids), "key", "left_semi")  # at most ``rows`` ids
+    usable = usable.filter("key is not null and text is not null and label is not null").withColumn("hash", F.xxhash64("key", "text", "label"))
+    chosen = bounded(usable, [*order, F.col("hash")], rows).select("hash", "key", "text", "label")
 
     def run(it: Iterator[tuple]) -> Iterator[tuple]:
-        for k, t, lang in it:
+        for h, k, t, lang in it:
             if has_letter(t):
                 grams, counts = np.unique(subwords(t), return_counts=True)
-                yield k, lang, grams.astype(np.int32), counts.astype(np.int32)
+                yield h, k, lang, grams.astype(np.int32), counts.astype(np.int32)
 
-    schema = pa.schema([("key", pa.int64()), ("label", pa.string()), ("grams", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
-    found = map_rows(chosen, run, "key long, label string, grams array<int>, counts array<int>", schema).toArrow()
+    schema = pa.schema([("hash", pa.int64()), ("key", pa.int64()), ("label", pa.string()), ("grams", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
+    each = map_rows(chosen, run, "hash long, key long, label string, grams array<int>, counts array<int>", schema)
+    found = each.dropDuplicates(["hash"]).toArrow()  # ``rows`` at most
     out = []
     for k, lang, g, c in zip(*(found.column(n) for n in ("key", "label", "grams", "counts"))):
         out.append((k.as_py(), lang.as_py(), g.values.to_numpy(), c.values.to_numpy()))
-    out.sort(key=lambda r: (r[0], r[1], len(r[2])))
-    return [(g.astype(np.int64), c.astype(np.float64), lang) for _, lang, g, c in out[:rows]]
+    out.sort(key=lambda r: (r[0], r[1], len(r[2]), r[2].tobytes(), r[3].tobytes()))
+    return [(g.astype(np.int64), c.astype(np.float64), lang) for _, lang, g, c in out]
 
 
 def fit(df: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:

@@ -7,8 +7,9 @@ and stems that stand out in the toxic texts of a sample. Trees are grown on hist
 loss; the isotonic map is fitted on a part of the sample that the trees haven't seen, with weights that
 restore the share of toxic rows.
 
-Sample: of the labelled rows, the ``sample_rows`` positive and as many negative ones of least hash of the
-id. Null and empty texts have all features zero and get the score of that. Without labels of both kinds
+Sample: of the labelled ids, the ``sample_rows`` positive and as many negative ones of least hash; of their documents
+twice ``sample_rows`` at most, also where many share an id; equal rows count once. An id with contradicting labels counts as toxic. The lexicon
+learns at most ``terms`` words and stems; words of over 40 bytes are no words of it (their stems may be). Null and empty texts have all features zero and get the score of that. Without labels of both kinds
 every score is the share of positives (0 without labels). Repeated rows get equal scores; an empty table
 gives an empty result; further columns aren't read.
 """
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubwell.llm.common import crc_mod, cut, map_rows, read_table
+from scrubwell.llm.common import bounded, crc_mod, cut, map_rows, read_table
 
 SAMPLE_ROWS = 4000
 LEXICON_TERMS = 3000
@@ -210,7 +211,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, key: str, text: str,
     order = [F.xxhash64("key"), F.col("key")]
     drawn = known.filter("y = 1").orderBy(*order).limit(rows).unionAll(known.filter("y = 0").orderBy(*order).limit(rows))
     texts = docs.select(docs[key].cast("long").alias("key"), docs[text].cast("string").alias("text"))
-    return texts.join(F.broadcast(drawn), "key"), (positive / n if n else 0.0), n  # 2 x ``rows`` ids at most
+    found = texts.join(F.broadcast(drawn), "key")  # 2 x ``rows`` ids at most
+    hashed = found.withColumn("hash", F.xxhash64("key", "text"))
+    few = bounded(hashed, [*order, F.col("hash")], 2 * rows).dropDuplicates(["hash"]).select("key", "text", "y")
+    return few.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), (positive / n if n else 0.0), n
 
 
 def learn_lexicon(sampled: DataFrame, limit: int) -> Lexicon:
