@@ -2,6 +2,8 @@ import base64
 import gzip
 import hashlib
 import random
+import tracemalloc
+from collections import Counter
 
 import pytest
 
@@ -31,38 +33,59 @@ ROWS = [(5, "http://www.B.org/x?b=2&a=1", "<p>é</p>"), (7, "http://a.org:80/",
 @pytest.mark.parametrize("least", [0, 5])
 def test_round_trip(pages, tmp_path, least):
     folder = f"file://{tmp_path}/w"
-    index = warc.merge(warc.write(pages(ROWS), folder, min_bytes=least))
+    index = warc.merge(warc.write(pages(ROWS), folder, min_bytes=least), folder)
     rows = warc.read(index, folder).collect()
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows), key=str) == brute(ROWS, least)
     stored = {r.page_id: bytes(r.payload) for r in rows if r.record_type == "response"}
     assert stored[12] == b"\r\n\r\nodd" and len(stored[11]) == 90000
-    raw = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").iterdir())
+    raw = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("*.gz"))
     assert raw.count(b"WARC/1.1\r\n") == len(ROWS)
     warc.remove(folder)
     assert not (tmp_path / "w").exists()
 
 
-def test_index_is_in_order_over_partitions(spark, pages, tmp_path):
+@pytest.mark.parametrize("fan,range_rows", [(256, 10**6), (256, 70), (3, 90)])
+def test_index_is_in_order_over_partitions(pages, tmp_path, monkeypatch, fan, range_rows):
+    """In one range, in several (some within the history of the hot URL), and with passes before the last merge."""
+    monkeypatch.setattr(warc, "BATCH_ROWS", 8)
     r = random.Random(4)
     rows = [(i, f"http://h{r.randrange(4)}.org/{r.randrange(9) if r.random() < 0.6 else 'hot'}", f"p{r.randrange(50)}") for i in range(400)]
     folder = f"file://{tmp_path}/w"
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else all of it is one partition
-    try:
-        runs = warc.write(pages(rows), folder)
-        index = warc.cut(warc.merge(runs))
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert runs.select("run").distinct().count() > 1
-    keys = [warc.order((x.urlkey, x.ts, x.key)) for x in index.collect()]
-    assert keys == sorted(keys) and len(keys) == 400 and index.rdd.getNumPartitions() > 1
+    runs = warc.write(pages(rows), folder, run_rows=40)
+    index = warc.cut(warc.merge(runs, folder, fan=fan, range_rows=range_rows))
+    assert runs.select("run").distinct().count() > 9
+    found = index.collect()
+    keys = [warc.order((x.urlkey, x.ts, x.key)) for x in found]
+    assert keys == sorted(keys) and sorted(x.key for x in found) == list(range(400))
+    assert (index.select("range").distinct().count() > 1) == (range_rows < 100)
+    history = Counter()
+    for x in found:
+        history[x.urlkey] += 1
+        assert x.place == history[x.urlkey]
+
+
+def test_merge_holds_batches_not_runs(tmp_path):
+    """A million captures in forty runs: the merge holds one batch of each."""
+    folder, keys = f"file://{tmp_path}", range(25_000)
+    names = []
+    for k in range(40):
+        names.append(list(warc._write_run(folder, (("u", f"{i:08d}", k, "f", i, 1) for i in keys)))[0][0])
+    tracemalloc.start()
+    n, last = 0, None
+    for row in warc.LoserTree([warc._read_run(folder, x) for x in names], warc.order):
+        assert last is None or last <= (row[1], row[2])
+        last, n = (row[1], row[2]), n + 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 1_000_000 and peak < 40 * warc.BATCH_ROWS * 1000
 
 
 def test_repeated_rows_and_empty(pages, tmp_path):
     folder = f"file://{tmp_path}/w"
     rows = [(1, "u", "a"), (1, "u", "a"), (2, "u", "a")]
-    got = warc.read(warc.merge(warc.write(pages(rows), folder)), folder).collect()
-    assert sorted((r.page_id, r.record_type) for r in got) == [(1, "revisit"), (1, "revisit"), (2, "response")]
-    assert warc.merge(warc.write(pages([]), folder)).count() == 0
+    got = warc.read(warc.merge(warc.write(pages(rows), folder), folder), folder).collect()
+    assert sorted((r.page_id, r.record_type, r.place) for r in got) == [(1, "revisit", 1), (1, "revisit", 2), (2, "response", 3)]
+    assert warc.merge(warc.write(pages([]), folder), folder).count() == 0
 
 
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 7, 16])
@@ -75,4 +98,5 @@ def test_loser_tree(k):
 def test_keys():
     for k in (None, 0, 5, -1, -(2**63), 2**63 - 1):
         assert warc.key_of(warc.record_id(k)) == k
+    assert warc.urlkey("no url") == "no url" and warc.urlkey(None) == "" and warc.urlkey("//u@b.c:81") == "c,b:81)/"
     assert warc.urlkey("HTTP://www.Ex.com:80/A/?b=2&a=1#f") == "com,ex)/a?a=1&b=2"
