@@ -6,15 +6,15 @@ their own and composed like the recipes.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import scrubwell as s
 from scrubwell.functions import tables
-from scrubwell.operators.validate import length_violation
 from scrubwell.sources.tables import read_table
 
 FLAGSHIP = "street_address_normalize"
@@ -235,6 +235,10 @@ for _args in [
     ("clip_numeric", "customer", "c_custkey", _BALANCE, [s.clip_numeric(0.0, 5000.0)], "CASE WHEN x < 0 THEN 0.0 WHEN x > 5000 THEN 5000.0 ELSE x END"),
     ("winsorize_numeric", "customer", "c_custkey", _BALANCE, [s.winsorize_numeric(), lambda c: F.round(c, 6)],
      f"round(CASE WHEN x < {_Q(0.05)} THEN {_Q(0.05)} WHEN x > {_Q(0.95)} THEN {_Q(0.95)} ELSE x END, 6)"),
+    ("clip_numeric_whole", "orders", "o_orderkey", "CAST(o_totalprice AS BIGINT)", [s.clip_numeric(0.0, 150000.5)],
+     "CASE WHEN x > 150000.5 THEN 150000 ELSE x END"),
+    ("winsorize_numeric_whole", "orders", "o_orderkey", "o_custkey", [s.winsorize_numeric()],
+     f"CASE WHEN x < {_Q(0.05)} THEN trunc({_Q(0.05)})::BIGINT WHEN x > {_Q(0.95)} THEN trunc({_Q(0.95)})::BIGINT ELSE x END"),
     ("flag_zscore_outliers", "customer", "c_custkey", _BALANCE, [s.flag_zscore_outliers(1.5)], "abs((x - avg(x) OVER ()) / stddev_samp(x) OVER ()) > 1.5"),
     ("flag_iqr_outliers", "events", "event_id", "value", [s.flag_iqr_outliers()],
      f"x < {_Q(0.25)} - 1.5 * ({_Q(0.75)} - {_Q(0.25)}) OR x > {_Q(0.75)} + 1.5 * ({_Q(0.75)} - {_Q(0.25)})"),
@@ -316,11 +320,18 @@ def _coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", s.coalesce_blank_columns(["a", "b"], "value"))
 
 
-@_frame("hash_key", "SELECT count(*) AS n_keys, count(*) AS n_tuples FROM (SELECT DISTINCT p_brand, p_type FROM part)")
+_SWAPPED = """SELECT CASE WHEN p_partkey % 5 <> 0 THEN p_brand END AS a, CASE WHEN p_partkey % 7 <> 0 THEN p_type END AS b FROM part
+UNION ALL SELECT CASE WHEN p_partkey % 7 <> 0 THEN p_type END, CASE WHEN p_partkey % 5 <> 0 THEN p_brand END FROM part"""
+
+
+@_frame("hash_key", f"SELECT count(*) AS n_keys, count(*) AS n_tuples FROM (SELECT DISTINCT a, b FROM ({_SWAPPED}))")
 def _hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Key values differ between engines, so what is compared is how they divide the rows."""
-    rows = read_table(spark, sf_dir, "part").select("p_brand", "p_type", s.hash_key(["p_brand", "p_type"], "key")).distinct()
-    return rows.agg(F.countDistinct("key").alias("n_keys"), F.countDistinct("p_brand", "p_type").alias("n_tuples"))
+    """Key values differ between engines, so what is compared is how they divide the rows: nulls and swapped positions too."""
+    part = read_table(spark, sf_dir, "part")
+    brand, kind = F.when(F.col("p_partkey") % 5 != 0, F.col("p_brand")), F.when(F.col("p_partkey") % 7 != 0, F.col("p_type"))
+    rows = part.select(brand.alias("a"), kind.alias("b")).unionAll(part.select(kind.alias("a"), brand.alias("b")))
+    keyed = rows.select("a", "b", s.hash_key(["a", "b"], "key")).distinct()
+    return keyed.agg(F.countDistinct("key").alias("n_keys"), F.count("*").alias("n_tuples"))
 
 
 _EVENTS = "SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS kind, CASE WHEN event_id % 4 = 0 THEN NULL ELSE value END AS amount FROM events"
@@ -341,13 +352,21 @@ def _first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.first_non_null_per_group(_events(spark, sf_dir), ["user_id"], order_by="event_id")
 
 
-_MODE = f"""SELECT user_id, kind FROM (SELECT user_id, kind, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(event_id)) AS r
-FROM ({_EVENTS}) WHERE kind IS NOT NULL GROUP BY user_id, kind) WHERE r = 1"""
+def _mode_sql(column: str) -> str:
+    return f"""SELECT user_id, {column} FROM (SELECT user_id, {column}, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(event_id)) AS r
+FROM ({_EVENTS}) WHERE {column} IS NOT NULL GROUP BY user_id, {column}) WHERE r = 1"""
+
 
+_MODE = _mode_sql("kind")
 
-@_frame("mode_then_first_per_group", f"SELECT u.user_id, m.kind FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN ({_MODE}) m USING (user_id)")
+
+@_frame(
+    "mode_then_first_per_group",
+    f"SELECT u.user_id, m.kind, a.amount, e.event_id FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN ({_MODE}) m USING (user_id) "
+    f"LEFT JOIN ({_mode_sql('amount')}) a USING (user_id) JOIN (SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id) e USING (user_id)",
+)
 def _modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.mode_then_first_per_group(_events(spark, sf_dir), ["user_id"], order_by="event_id").select("user_id", "kind")
+    return s.mode_then_first_per_group(_events(spark, sf_dir), ["user_id"], order_by="event_id")
 
 
 @_frame("fill_null_string_by_group", f"SELECT e.event_id, coalesce(e.kind, m.kind) AS kind FROM ({_EVENTS}) e LEFT JOIN ({_MODE}) m USING (user_id)")
@@ -370,19 +389,31 @@ for _strategy, _center in [
     ORACLE_SQL[f"fill_null_numeric_by_group_{_strategy}"] = f"SELECT event_id, round(coalesce(amount, {_center}), 6) AS amount FROM ({_EVENTS})"
 
 
-@_frame("assert_no_nulls", "SELECT count(*) AS n_rows FROM customer")
+def _counted(guard: Callable[[], None]) -> int:
+    """How many violations a guard reports."""
+    try:
+        guard()
+    except ValueError as error:
+        return int(re.search(r"(\d+) (?:null )?value", str(error)).group(1))
+    return 0
+
+
+@_frame("assert_no_nulls", "SELECT 'clean' AS input, 0::BIGINT AS n_nulls UNION ALL SELECT 'dirty', count(*) FROM customer WHERE c_custkey % 10 = 0")
 def _no_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "customer")
-    s.assert_no_nulls(rows, "c_name")
-    return rows.agg(F.count("*").alias("n_rows"))
+    rows = read_table(spark, sf_dir, "customer").withColumn("dirty", F.when(F.col("c_custkey") % 10 != 0, F.col("c_name")))
+    found = [(name, _counted(lambda c=column: s.assert_no_nulls(rows, c))) for name, column in (("clean", "c_name"), ("dirty", "dirty"))]
+    return spark.createDataFrame(found, "input string, n_nulls long")
 
 
-@_frame("assert_string_length", "SELECT count(*) AS n_violations FROM part WHERE NOT coalesce(length(p_name) BETWEEN 5 AND 18, false)")
+@_frame(
+    "assert_string_length",
+    "SELECT 'loose' AS input, 0::BIGINT AS n_violations UNION ALL SELECT 'tight', count(*) FROM part WHERE NOT coalesce(length(p_name) BETWEEN 5 AND 18, false)",
+)
 def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "part")
-    s.assert_string_length(rows, "p_name", min_length=1)
-    bad: Column = length_violation(rows, "p_name", 5, 18, False)
-    return rows.agg(F.count_if(bad).alias("n_violations"))
+    bounds = (("loose", 1, None), ("tight", 5, 18))
+    found = [(name, _counted(lambda a=low, b=high: s.assert_string_length(rows, "p_name", min_length=a, max_length=b))) for name, low, high in bounds]
+    return spark.createDataFrame(found, "input string, n_violations long")
 
 
 @_frame("normalize_column_names", "SELECT r_regionkey AS region_key, r_name AS region_name FROM region")

@@ -1,8 +1,10 @@
 """Transforms that need figures of the whole column.
 
-Each is a :class:`DataDependent`. Called on a column it is an ordinary transform over a global window, which
-Spark runs in one partition; ``apply_frame`` gets the figures by distributed aggregates (scalar subqueries,
-or a join with the table of frequencies) and is what :func:`scrubwell.plans.compose.apply_recipe` uses.
+Each is a :class:`DataDependent` and needs the frame: :func:`scrubwell.plans.compose.apply_recipe` takes it, and
+``compose_column`` does as ``df=``. Figures are distributed aggregates in scalar subqueries or exact quantiles (which run jobs when the
+column is built, see :mod:`scrubwell.functions.quantiles`); frequencies are a join with the table of values, so they need
+``apply_recipe``. Nulls stay null and count for no figure; a column without values has null figures; an empty table stays empty;
+repeated rows each count; columns of the frame keep their values whatever their names.
 """
 
 from __future__ import annotations
@@ -13,8 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
+from scrubwell.functions.columns import free_names, quoted_name
 from scrubwell.functions.quantiles import exact_quantiles
 from scrubwell.types import ColumnTransform
 
@@ -24,51 +26,50 @@ flag_zscore_outliers map_categories winsorize_numeric
 """.split()
 
 
-def quoted_name(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 type Bound = float | None
 type Share = float
 
 
 @dataclass(frozen=True)
 class DataDependent:
-    """``windowed``: the transform over a global window. ``framed``: (frame, column name, output name) to a frame."""
+    """``on``: (frame, column) to a column of figures of that frame, where there is one. ``framed``: (frame, column name, output
+    name) to a frame. ``pure``: what it does to a column of unknown type without a frame, where that makes sense."""
 
-    windowed: ColumnTransform
     framed: Callable[[DataFrame, str, str], DataFrame]
+    on: Callable[[DataFrame, Column], Column] | None = None
+    pure: ColumnTransform | None = None
 
     def __call__(self, c: Column) -> Column:
-        return self.windowed(c)
+        if self.pure is None:
+            raise ValueError("the transform needs the whole column: give compose_column the frame as df=, or use apply_recipe")
+        return self.pure(c)
+
+    def apply_column(self, df: DataFrame, c: Column) -> Column:
+        if self.on is None:
+            raise ValueError("the transform joins a table of frequencies: use apply_recipe")
+        return self.on(df, c)
 
     def apply_frame(self, df: DataFrame, column: str, output: str | None = None) -> DataFrame:
         return self.framed(df, column, output or column)
 
 
-def _over_all(c: Column) -> Column:
-    return c.over(Window.partitionBy())
+def _on_column(on: Callable[[DataFrame, Column], Column], pure: ColumnTransform | None = None) -> DataDependent:
+    return DataDependent(lambda df, column, output: df.withColumn(output, on(df, F.col(quoted_name(column)))), on, pure)
 
 
 def _by_figures(figures: Callable[[Column], list[Column]], result: Callable[[Column, list[Column]], Column]) -> DataDependent:
     """Figures are plain aggregates of the column."""
 
-    def framed(df: DataFrame, column: str, output: str) -> DataFrame:
-        c = F.col(quoted_name(column))
+    def on(df: DataFrame, c: Column) -> Column:
         row = df.select(F.struct(*[f.alias(f"f{i}") for i, f in enumerate(figures(c))]).alias("f")).scalar()
-        return df.withColumn(output, result(c, [row[f"f{i}"] for i in range(len(figures(c)))]))
+        return result(c, [row[f"f{i}"] for i in range(len(figures(c)))])
 
-    return DataDependent(lambda c: result(c, [_over_all(f) for f in figures(c)]), framed)
+    return _on_column(on)
 
 
 def _by_quantiles(points: list[float], result: Callable[[Column, list[Column]], Column]) -> DataDependent:
     """Figures are exact quantiles of the column."""
-
-    def framed(df: DataFrame, column: str, output: str) -> DataFrame:
-        c = F.col(quoted_name(column))
-        return df.withColumn(output, result(c, exact_quantiles(df, c, points)))
-
-    return DataDependent(lambda c: result(c, [_over_all(F.percentile(c, F.lit(p))) for p in points]), framed)
+    return _on_column(lambda df, c: result(c, exact_quantiles(df, c, points)))
 
 
 def flag_zscore_outliers(threshold: float = 3.0) -> DataDependent:
@@ -105,17 +106,12 @@ def flag_mad_outliers(threshold: float = 3.5) -> DataDependent:
     def result(c: Column, median: Column, mad: Column) -> Column:
         return F.when(mad == 0, c != median).otherwise(F.abs(0.6745 * (c - median) / F.when(mad != 0, mad)) > threshold)
 
-    def windowed(c: Column) -> Column:
-        median = _over_all(F.percentile(c, F.lit(0.5)))
-        return result(c, median, _over_all(F.percentile(F.abs(c - median), F.lit(0.5))))
-
-    def framed(df: DataFrame, column: str, output: str) -> DataFrame:
-        c = F.col(quoted_name(column))
+    def on(df: DataFrame, c: Column) -> Column:
         (median,) = exact_quantiles(df, c, [0.5])
         (mad,) = exact_quantiles(df, F.abs(c - median), [0.5])
-        return df.withColumn(output, result(c, median, mad))
+        return result(c, median, mad)
 
-    return DataDependent(windowed, framed)
+    return _on_column(on)
 
 
 def _clip(c: Column, lower, upper) -> Column:
@@ -128,37 +124,34 @@ def _clip(c: Column, lower, upper) -> Column:
     return out.otherwise(c)
 
 
-def _same_type(df: DataFrame, column: str, value: Column) -> Column:
+def _same_type(df: DataFrame, c: Column, value: Column) -> Column:
     """Whole-number columns stay so; bounds are cut to whole numbers."""
-    kind = next(f.dataType for f in df.schema.fields if f.name == column)
+    kind = df.select(c.alias("c")).schema["c"].dataType
     return value.cast(kind) if isinstance(kind, T.NumericType) else value
 
 
+def _whole(bound: Bound) -> Bound:
+    """A whole bound as an int, which leaves the type of whole-number columns alone."""
+    return int(bound) if bound is not None and float(bound).is_integer() and abs(bound) < 2**63 else bound
+
+
 def clip_numeric(lower: Bound = None, upper: Bound = None) -> DataDependent:
-    """Clamped to the inclusive bounds; the type stays where the frame is at hand."""
+    """Clamped to the inclusive bounds. The type stays where the frame is at hand, else with whole bounds; a fractional bound
+    without the frame makes a whole-number column double."""
     if lower is None and upper is None:
         raise ValueError("give lower, upper or both")
     if None not in (lower, upper) and lower > upper:
         raise ValueError("lower must not exceed upper")
-    bounds = (lower, upper)
-
-    def framed(df: DataFrame, column: str, output: str) -> DataFrame:
-        return df.withColumn(output, _same_type(df, column, _clip(F.col(quoted_name(column)), *bounds)))
-
-    return DataDependent(lambda c: _clip(c, *bounds), framed)
+    bounds = (_whole(lower), _whole(upper))
+    return _on_column(lambda df, c: _same_type(df, c, _clip(c, *bounds)), lambda c: _clip(c, *bounds))
 
 
 def winsorize_numeric(lower_quantile: Share = 0.05, upper_quantile: Share = 0.95) -> DataDependent:
     """Clamped to two quantiles of the column (linear interpolation)."""
     if not 0 <= lower_quantile < upper_quantile <= 1:
         raise ValueError("quantiles must satisfy 0 <= lower < upper <= 1")
-    inner = _by_quantiles([lower_quantile, upper_quantile], lambda c, f: _clip(c, *f))
-
-    def framed(df: DataFrame, column: str, output: str) -> DataFrame:
-        done = inner.framed(df, column, "__clipped")
-        return done.withColumn(output, _same_type(df, column, F.col("__clipped"))).drop("__clipped")
-
-    return DataDependent(inner.windowed, framed)
+    points = [lower_quantile, upper_quantile]
+    return _on_column(lambda df, c: _same_type(df, c, _clip(c, *exact_quantiles(df, c, points))))
 
 
 def map_categories(mapping: Mapping[Hashable, object]) -> ColumnTransform:
@@ -181,20 +174,21 @@ def map_categories(mapping: Mapping[Hashable, object]) -> ColumnTransform:
     return transform
 
 
-def _by_frequency(windowed: ColumnTransform, chosen: Callable[[DataFrame], DataFrame], replacement: str) -> DataDependent:
+def _by_frequency(chosen: Callable[[DataFrame], DataFrame], replacement: str) -> DataDependent:
     """``chosen``: from the table of (value, n) to the values that are replaced."""
 
     def framed(df: DataFrame, column: str, output: str) -> DataFrame:
         c = F.col(quoted_name(column))
-        counts = df.filter(c.isNotNull()).groupBy(c.alias("__value")).agg(F.count("*").alias("__n"))
-        rare = chosen(counts).select("__value", F.lit(True).alias("__rare"))
+        value, gone = free_names(df, "value", "gone")
+        counts = df.filter(c.isNotNull()).groupBy(c.alias("value")).agg(F.count("*").alias("n"))
+        rare = chosen(counts).select(F.col("value").alias(value), F.lit(True).alias(gone))
         names = [F.col(quoted_name(x)) for x in df.columns]
-        joined = df.join(rare, c == F.col("__value"), "left")
-        done = F.when(F.col("__rare"), F.lit(replacement)).otherwise(c)
+        joined = df.join(rare, c == F.col(value), "left")
+        done = F.when(F.col(gone), F.lit(replacement)).otherwise(c)
         kept = [done.alias(x) if x == output else n for x, n in zip(df.columns, names)]
         return joined.select(*kept, *([] if output in df.columns else [done.alias(output)]))
 
-    return DataDependent(windowed, framed)
+    return DataDependent(framed)
 
 
 def collapse_rare_by_count(min_count: int, replacement: str = "other") -> DataDependent:
@@ -202,10 +196,7 @@ def collapse_rare_by_count(min_count: int, replacement: str = "other") -> DataDe
     if min_count < 1:
         raise ValueError("min_count must be at least 1")
 
-    def windowed(c: Column) -> Column:
-        return F.when(c.isNotNull() & (F.count(c).over(Window.partitionBy(c)) < min_count), F.lit(replacement)).otherwise(c)
-
-    return _by_frequency(windowed, lambda t: t.filter(F.col("__n") < min_count), replacement)
+    return _by_frequency(lambda t: t.filter(F.col("n") < min_count), replacement)
 
 
 def collapse_keep_top_n(n: int, replacement: str = "other") -> DataDependent:
@@ -216,12 +207,8 @@ def collapse_keep_top_n(n: int, replacement: str = "other") -> DataDependent:
     if n < 1:
         raise ValueError("n must be at least 1")
 
-    def windowed(c: Column) -> Column:
-        tier = F.dense_rank().over(Window.orderBy(F.count(c).over(Window.partitionBy(c)).desc()))
-        return F.when(c.isNotNull() & (tier > n), F.lit(replacement)).otherwise(c)
-
     def chosen(counts: DataFrame) -> DataFrame:
-        least = counts.select("__n").distinct().orderBy(F.desc("__n")).limit(n).select(F.min("__n")).scalar()
-        return counts.filter(F.col("__n") < least)
+        least = counts.select("n").distinct().orderBy(F.desc("n")).limit(n).select(F.min("n")).scalar()
+        return counts.filter(F.col("n") < least)
 
-    return _by_frequency(windowed, chosen, replacement)
+    return _by_frequency(chosen, replacement)

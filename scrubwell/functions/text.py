@@ -68,7 +68,7 @@ def _nfkc(values: pd.Series) -> pd.Series:
 
 
 def normalize_unicode_nfkc(c: Column) -> Column:
-    """NFKC; Spark has no such function, so other than ASCII values go through an Arrow UDF."""
+    """NFKC; Spark has no such function, so values go through an Arrow UDF, ASCII ones as nulls, which stay as they are."""
     return F.coalesce(_nfkc(F.when(~c.rlike(r"^[\x00-\x7f]*\z"), c)), c)
 
 

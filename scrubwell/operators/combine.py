@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scrubwell.functions.stats import quoted_name
+from scrubwell.functions.columns import quoted_name
 from scrubwell.functions.text import nullify_blank_strings
 
 __all__ = "coalesce_blank_columns combine_columns hash_key".split()

@@ -7,7 +7,7 @@ from typing import Literal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrubwell.functions.stats import quoted_name
+from scrubwell.functions.columns import quoted_name
 
 __all__ = "PeriodInterval within_complete_month within_complete_period".split()
 

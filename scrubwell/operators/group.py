@@ -1,7 +1,10 @@
 """One row per group, and nulls filled from the group.
 
 Input order is what ``order_by`` says; without it, the order of files and partitions, taken down before
-any shuffle.
+any shuffle, which is only the same again on a repeated evaluation where the frame is read from files.
+
+Null keys are a group, rows that repeat count each, an empty table gives an empty result, and columns keep their values
+whatever their names.
 """
 
 from __future__ import annotations
@@ -13,7 +16,9 @@ from typing import Literal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrubwell.functions.stats import quoted_name
+from pyspark.sql.window import Window
+
+from scrubwell.functions.columns import free_names, quoted_name
 
 __all__ = """
 CentralTendencyStrategy fill_null_numeric_by_group fill_null_string_by_group
@@ -21,14 +26,13 @@ first_non_null_per_group mode_then_first_per_group
 """.split()
 
 type CentralTendencyStrategy = Literal["auto", "mean", "median"]
-_ORDER = "__order"
 
 
-def _ordered(df: DataFrame, order_by: str | Sequence[str] | None) -> DataFrame:
+def _ordered(df: DataFrame, order_by: str | Sequence[str] | None, name: str) -> DataFrame:
     if order_by is None:
-        return df.withColumn(_ORDER, F.monotonically_increasing_id())
+        return df.withColumn(name, F.monotonically_increasing_id())
     names = [order_by] if isinstance(order_by, str) else list(order_by)
-    return df.withColumn(_ORDER, F.struct(*[F.col(quoted_name(n)) for n in names]))
+    return df.withColumn(name, F.struct(*[F.col(quoted_name(n)) for n in names]))
 
 
 def _keys(keys: Sequence[str], what: str = "keys") -> list[str]:
@@ -43,33 +47,69 @@ def first_non_null_per_group(df: DataFrame, keys: Sequence[str], *, order_by: st
     rest = [c for c in df.columns if c not in keys]
     if not rest:
         return df.select(*by).distinct()
-    first = [F.expr(f"min_by({quoted_name(c)}, {_ORDER}) FILTER (WHERE {quoted_name(c)} IS NOT NULL)").alias(c) for c in rest]
-    return _ordered(df, order_by).groupBy(*by).agg(*first)
-
-
-def _modes(df: DataFrame, by: list[str], column: str) -> DataFrame:
-    """The most frequent value that isn't null per key, the earliest among equals; keys without one are absent."""
-    c = quoted_name(column)
-    counts = df.filter(f"{c} IS NOT NULL").groupBy(*by, c).agg(F.count("*").alias("__n"), F.min(_ORDER).alias("__at"))
-    return counts.groupBy(*by).agg(F.min_by(F.col(c), F.struct(-F.col("__n"), F.col("__at"))).alias(column))
+    (order,) = free_names(df, "order")
+    first = [F.expr(f"min_by({quoted_name(c)}, {quoted_name(order)}) FILTER (WHERE {quoted_name(c)} IS NOT NULL)").alias(c) for c in rest]
+    return _ordered(df, order_by, order).groupBy(*by).agg(*first)
+
+
+def _modes(df: DataFrame, by: list[str], columns: list[str], order_by: str | Sequence[str] | None) -> DataFrame:
+    """A row per key: each column's most frequent value that isn't null, the earliest among equals; null if it has none.
+
+    A row becomes one for each column, with that column's value in the field of its own type, so all columns are counted and
+    ranked in one pass of two shuffles, both with map-side combination.
+    """
+    (order,) = free_names(df, "order")
+    fields = [f"v{i}" for i in range(len(columns))]
+    types = [df.select(quoted_name(c)).schema[0].dataType for c in columns]
+    each = [
+        F.struct(
+            F.lit(i).alias("which"),
+            *[(F.col(quoted_name(c)) if k == i else F.lit(None).cast(types[k])).alias(fields[k]) for k, c in enumerate(columns)],
+        )
+        for i in range(len(columns))
+    ]
+    keys = [F.col(k).alias(f"k{i}") for i, k in enumerate(by)]
+    long = _ordered(df, order_by, order).select(*keys, F.col(quoted_name(order)).alias("order"), F.explode(F.array(*each)).alias("row"))
+    names = [f"k{i}" for i in range(len(by))]
+    flat = long.select(*names, "order", "row.*")
+    counts = flat.groupBy(*names, "which", *fields).agg(F.count("*").alias("n"), F.min("order").alias("at"))
+    best = [
+        F.expr(f"min_by({f}, struct(-n, at)) FILTER (WHERE which = {i} AND {f} IS NOT NULL)").alias(f) for i, f in enumerate(fields)
+    ]
+    return counts.groupBy(*names).agg(*best)
 
 
 def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], take: Sequence[tuple[str, str]]) -> DataFrame:
-    """Left join in which null keys match; ``take``: (column of right, new name)."""
-    r = right.select(*[F.col(quoted_name(k)).alias(f"__k{i}") for i, k in enumerate(keys)], *[F.col(quoted_name(a)).alias(b) for a, b in take])
-    same = reduce(Column.__and__, [left[quoted_name(k)].eqNullSafe(r[f"__k{i}"]) for i, k in enumerate(keys)])
-    return left.join(r, same, "left").drop(*[f"__k{i}" for i in range(len(keys))])
+    """Left join in which null keys match; ``right`` has the keys as ``k0``, ...; ``take``: (column of right, new name)."""
+    names = free_names(left, *[f"k{i}" for i in range(len(keys))])
+    r = right.select(*[F.col(f"k{i}").alias(n) for i, n in enumerate(names)], *[F.col(a).alias(b) for a, b in take])
+    same = reduce(Column.__and__, [left[quoted_name(k)].eqNullSafe(r[n]) for k, n in zip(keys, names)])
+    return left.join(r, same, "left").drop(*names)
 
 
 def mode_then_first_per_group(df: DataFrame, keys: Sequence[str], *, order_by: str | Sequence[str] | None = None) -> DataFrame:
     """A row per key with each other column's most frequent value, the earliest among equals; null if it has none."""
     by = _keys(keys)
     rest = [c for c in df.columns if c not in keys]
-    ordered = _ordered(df, order_by)
-    out = df.select(*by).distinct()
-    for c in rest:
-        out = _join_on(out, _modes(ordered, by, c), keys, [(c, c)])
-    return out
+    if not rest:
+        return df.select(*by).distinct()
+    modes = _modes(df, by, rest, order_by)
+    return modes.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], *[F.col(f"v{i}").alias(c) for i, c in enumerate(rest)])
+
+
+def _medians(df: DataFrame, by: list[str], c: Column) -> DataFrame:
+    """``k0``, ... and ``middle``, the exact median per key.
+
+    Values are counted first, so repeats don't travel; the running count of a group is sorted and spills, and holds no group in
+    memory, where ``percentile`` holds the distinct values of one.
+    """
+    names = [f"k{i}" for i in range(len(by))]
+    counts = df.select(*[F.col(k).alias(n) for k, n in zip(by, names)], c.alias("v")).filter("v IS NOT NULL").groupBy(*names, "v").agg(F.count("*").alias("n"))
+    group = Window.partitionBy(*names)
+    ranked = counts.withColumn("upto", F.sum("n").over(group.orderBy("v"))).withColumn("total", F.sum("n").over(group))
+    holds = lambda rank: f"(upto > {rank} AND upto - n <= {rank})"
+    picked = ranked.filter(f"{holds('(total - 1) div 2')} OR {holds('total div 2')}")
+    return picked.groupBy(*names).agg(((F.min("v") + F.max("v")) / 2).alias("middle"))
 
 
 def fill_null_numeric_by_group(
@@ -84,15 +124,16 @@ def fill_null_numeric_by_group(
     if skew_threshold < 0:
         raise ValueError("skew_threshold must not be negative")
     c = F.col(quoted_name(value)).cast("double")
+    keys = [F.col(k).alias(f"k{i}") for i, k in enumerate(by)]
+    means = lambda rows: rows.groupBy(*keys).agg(F.avg(c).alias("middle"))
     if strategy == "auto":
-        skew = df.select(F.skewness(c)).scalar()
-        middle = F.when(F.abs(skew) >= skew_threshold, F.col("__median")).otherwise(F.col("__mean"))
-        figures = df.groupBy(*by).agg(F.percentile(c, F.lit(0.5)).alias("__median"), F.avg(c).alias("__mean")).withColumn("__middle", middle)
+        skewed = F.coalesce(F.abs(df.select(F.skewness(c)).scalar()) >= skew_threshold, F.lit(False))
+        figures = means(df.filter(~skewed)).unionAll(_medians(df.filter(skewed), by, c))  # the filter leaves one of them without rows
     else:
-        center = F.avg(c) if strategy == "mean" else F.percentile(c, F.lit(0.5))
-        figures = df.groupBy(*by).agg(center.alias("__middle"))
-    joined = _join_on(df, figures, groups, [("__middle", "__middle")])
-    return joined.withColumn(output or value, F.coalesce(c, F.col("__middle"))).drop("__middle")
+        figures = means(df) if strategy == "mean" else _medians(df, by, c)
+    (middle,) = free_names(df, "middle")
+    joined = _join_on(df, figures, groups, [("middle", middle)])
+    return joined.withColumn(output or value, F.coalesce(c, F.col(middle))).drop(*([middle] if middle != (output or value) else []))
 
 
 def fill_null_string_by_group(
@@ -100,6 +141,7 @@ def fill_null_string_by_group(
 ) -> DataFrame:
     """Nulls become the group's most frequent value, the earliest among equals; the type stays."""
     by = _keys(groups, "groups")
-    modes = _modes(_ordered(df, order_by), by, value)
-    joined = _join_on(df, modes, groups, [(value, "__mode")])
-    return joined.withColumn(output or value, F.coalesce(F.col(quoted_name(value)), F.col("__mode"))).drop("__mode")
+    (mode,) = free_names(df, "mode")
+    joined = _join_on(df, _modes(df, by, [value], order_by), groups, [("v0", mode)])
+    done = F.coalesce(F.col(quoted_name(value)), F.col(mode))
+    return joined.withColumn(output or value, done).drop(*([mode] if mode != (output or value) else []))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scrubwell.functions.stats import quoted_name
+from scrubwell.functions.columns import quoted_name
 
 __all__ = "assert_no_nulls assert_string_length".split()
 

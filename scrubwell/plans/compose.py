@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrubwell.functions.stats import DataDependent, quoted_name
+from scrubwell.functions.columns import quoted_name
+from scrubwell.functions.stats import DataDependent
 from scrubwell.types import ColumnTransform
 
 __all__ = "apply_recipe compose_column".split()
@@ -21,9 +22,17 @@ def _steps(transforms: Iterable[ColumnTransform]) -> list[ColumnTransform]:
     return steps
 
 
-def compose_column(source: str, transforms: Iterable[ColumnTransform], output: str | None = None) -> Column:
-    """The transforms applied in turn to the column ``source``, named ``output`` (or as the source)."""
-    return reduce(lambda c, t: t(c), _steps(transforms), F.col(quoted_name(source))).alias(output or source)
+def compose_column(source: str, transforms: Iterable[ColumnTransform], output: str | None = None, *, df: DataFrame | None = None) -> Column:
+    """The transforms applied in turn to the column ``source``, named ``output`` (or as the source).
+
+    Transforms that need figures of the whole column take them from ``df``, the frame the column is used on; without it they
+    raise, as the only plan left would put all rows into one partition.
+    """
+
+    def step(c: Column, t: ColumnTransform) -> Column:
+        return t.apply_column(df, c) if isinstance(t, DataDependent) and df is not None else t(c)
+
+    return reduce(step, _steps(transforms), F.col(quoted_name(source))).alias(output or source)
 
 
 def apply_recipe(df: DataFrame, source: str, transforms: Iterable[ColumnTransform], output: str | None = None) -> DataFrame:

@@ -25,12 +25,16 @@ def test_date_range(spark, kind, make):
 
 
 def both(spark, values, transforms, kind="double"):
-    """The frame path and the window path must agree."""
+    """``apply_recipe`` and a column made on the frame must agree; frequencies only have the former."""
     if kind == "double":
         values = [None if v is None else float(v) for v in values]
     df = spark.createDataFrame(list(enumerate(values)), f"i int, x {kind}")
     framed = column(s.apply_recipe(df, "x", transforms, "y"), "y")
-    assert framed == applied(spark, values, transforms, kind)
+    if kind == "double":
+        assert framed == applied(spark, values, transforms, kind)
+    else:
+        with pytest.raises(ValueError, match="apply_recipe"):
+            applied(spark, values, transforms, kind)
     return framed
 
 
@@ -91,6 +95,22 @@ def test_no_global_window_on_the_frame_path(spark):
         assert "Window" not in s.apply_recipe(df, "x", [step])._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_figures_need_the_frame(spark):
+    whole = spark.createDataFrame([(0, -5), (1, 3), (2, 99), (3, None)], "i int, x long")
+    for step in (s.flag_zscore_outliers(), s.flag_iqr_outliers(), s.flag_mad_outliers(), s.winsorize_numeric(), s.collapse_keep_top_n(1), s.collapse_rare_by_count(1)):
+        with pytest.raises(ValueError, match="apply_recipe"):
+            s.compose_column("x", [step])
+    for bounds, want in (((0.0, 3.5), [0, 3, 3, None]), ((0, 10), [0, 3, 10, None])):
+        out = whole.withColumn("y", s.compose_column("x", [s.clip_numeric(*bounds)], df=whole))
+        assert dict(out.dtypes)["y"] == "bigint" and column(out, "y") == want
+    out = whole.withColumn("y", s.compose_column("x", [s.clip_numeric(0.0, 10.0)]))
+    assert dict(out.dtypes)["y"] == "bigint" and column(out, "y") == [0, 3, 10, None]
+    steps = {"x": s.compose_column("x", [s.winsorize_numeric(0.0, 0.5)], df=whole), "i": s.compose_column("i", [s.clip_numeric(1)], df=whole)}
+    out = whole.withColumns(steps)
+    assert [tuple(r) for r in out.collect()] == [(1, -5), (1, 3), (2, 3), (3, None)] and out.dtypes == whole.dtypes
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
+
+
 def test_compose(spark):
     df = spark.createDataFrame([(" A ",)], "`a.b` string")
     assert df.select(s.compose_column("a.b", [s.strip_whitespace])).columns == ["a.b"]

@@ -6,7 +6,7 @@ from scrubwell import compose_column
 def applied(spark, values, transforms, kind="string"):
     """The values after the transforms, in order."""
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, x {kind}").coalesce(1)
-    return [r.y for r in df.select("i", compose_column("x", transforms, "y")).orderBy("i").collect()]
+    return [r.y for r in df.select("i", compose_column("x", transforms, "y", df=df)).orderBy("i").collect()]
 
 
 def check(spark, transforms, table, kind="string"):

@@ -1,3 +1,5 @@
+import random
+import statistics
 from datetime import date, datetime
 
 import pytest
@@ -116,3 +118,35 @@ def test_column_names(spark):
     assert s.normalize_column_names(df, "\\1").columns == ["first\\1name", "last\\1name"]
     with pytest.raises(ValueError, match="collide"):
         s.normalize_column_names(spark.createDataFrame([(1, 2)], "`a b` int, `A  B` int"))
+
+
+CLASHES = "value gone n order at which row k0 k1 v0 v1 middle mode total upto __order __value __n __rare __clipped __middle __mode __k0 __median __mean".split()
+
+
+def test_names_that_clash(spark):
+    """Every name used inside, as a column of the user: values come back unchanged."""
+    names = ", ".join(f"`{c}` string" for c in CLASHES)
+    df = spark.createDataFrame([(i, i % 2, "abb"[i % 3], float(i) if i % 4 else None, *CLASHES) for i in range(12)], f"i int, g int, t string, x double, {names}").coalesce(1)
+    whole = lambda out: out.count() > 0 and all(tuple(r[c] for c in CLASHES) == tuple(CLASHES) for r in out.collect())
+    assert whole(s.first_non_null_per_group(df, ["g"])) and whole(s.mode_then_first_per_group(df, ["g"], order_by="i"))
+    for strategy in ("auto", "mean", "median"):
+        assert whole(s.fill_null_numeric_by_group(df, "x", ["g"], strategy=strategy))
+    assert whole(s.fill_null_string_by_group(df, "t", ["g"]))
+    for column_, step in (("t", s.collapse_rare_by_count(9)), ("t", s.collapse_keep_top_n(1)), ("x", s.winsorize_numeric()), ("x", s.clip_numeric(1, 2))):
+        assert whole(s.apply_recipe(df, column_, [step], "out"))
+    assert s.fill_null_string_by_group(df, "t", ["g"], output="mode").filter("mode = t").count() == 12
+    assert s.first_non_null_per_group(df.limit(0), ["g"]).count() == s.mode_then_first_per_group(df.limit(0), ["g"]).count() == 0
+
+
+def test_medians_against_plain_ones(spark):
+    r = random.Random(3)
+    rows = [(r.choice([1, 2, None]), r.choice([None, *map(float, range(9))])) for _ in range(300)] + [(7, None)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, g int, x double").repartition(3)
+    want = {g: statistics.median([x for k, x in rows if k == g and x is not None] or [-1]) for g in (1, 2, None, 7)}
+    got = column(s.fill_null_numeric_by_group(df, "x", ["g"], strategy="median"), "x")
+    assert got == [x if x is not None else (None if g == 7 else want[g]) for g, x in rows]
+
+
+def test_modes_take_two_shuffles(spark):
+    plan = s.mode_then_first_per_group(spark.range(9).selectExpr("id % 2 g", "id a", "id b", "id c"), ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "Join" not in plan
