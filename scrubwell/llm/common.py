@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,7 +85,43 @@ def checkpoint_root(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and drop its lineage."""
     checkpoint_root(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    path = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if path.isDefined():
+        _MADE.append(path.get())
+    return out
+
+
+#: Checkpoints of this process, for ``checkpoints_removed``.
+_MADE: list[str] = []
+
+
+@contextmanager
+def checkpoints_removed() -> Iterator[None]:
+    """Delete the checkpoints made inside, for code whose results are written by its end."""
+    at = len(_MADE)
+    try:
+        yield
+    finally:
+        for path in _MADE[at:]:
+            remove(path)
+        del _MADE[at:]
+
+
+def open_folder(folder: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", folder))
+
+
+def remove(folder: str) -> None:
+    system, base = open_folder(folder)
+    if system.get_file_info(base).type != pafs.FileType.NotFound:
+        system.delete_dir(base)
+
+
+def finished(folder: str) -> bool:
+    """Whether Spark wrote the folder to its end."""
+    system, base = open_folder(folder)
+    return system.get_file_info(f"{base}/_SUCCESS").type != pafs.FileType.NotFound
 
 
 def crc_mod(doc_id: Any, mod: int) -> Any:

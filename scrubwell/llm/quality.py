@@ -129,6 +129,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the strictest policy drops, in all and alone."""
+    return ablation(ledger(read_table(spark, sf_dir, "documents")), POLICIES["v2"])
+
+
 _SQL = r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS t,
@@ -164,5 +169,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 15) = 0 AS kept, fail_bits
 FROM b"""
 
-QUERIES = {"op10_quality": op10_quality}
-ORACLE_SQL = {"op10_quality": _SQL}
+_RULES_SQL = " UNION ALL ".join(f"SELECT '{r.name}' AS rule, {r.bit} AS bit" for r in RULES)
+_ABLATION_SQL = f"""
+SELECT rule, bit::INT AS bit, count(*) FILTER ((fail_bits & bit) <> 0) AS n_failed,
+       count(*) FILTER (fail_bits = bit) AS n_failed_alone, count(*) FILTER ((fail_bits & (63 - bit)) = 0) AS n_kept_without
+FROM ({_SQL}), ({_RULES_SQL}) GROUP BY rule, bit"""
+
+QUERIES = {"op10_quality": op10_quality, "quality_ablation": quality_ablation}
+ORACLE_SQL = {"op10_quality": _SQL, "quality_ablation": _ABLATION_SQL}

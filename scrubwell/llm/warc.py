@@ -33,13 +33,12 @@ from datetime import UTC, datetime, timedelta
 from itertools import groupby, islice
 
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pyspark.sql.window import Window
 
-from scrubwell.llm.common import checkpoint_root, cut, map_rows, maybe_in, read_table
+from scrubwell.llm.common import checkpoint_root, cut, map_rows, maybe_in, open_folder, read_table, remove
 
 EPOCH = datetime(2020, 1, 1, tzinfo=UTC)
 #: Captures of a run at most, and of a batch, which is what a merge holds of each run.
@@ -122,10 +121,6 @@ def parse(data: bytes) -> tuple[dict[str, str], int, bytes]:
     return headers, size, payload
 
 
-def _open(folder: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", folder))
-
-
 class LoserTree:
     """Merge of sorted iterators: inner nodes hold losers, so a step replays one path to the root."""
 
@@ -184,7 +179,7 @@ def roles(pages: DataFrame, *, key: str, url: str, payload: str, min_bytes: int,
 
 def _write_run(folder: str, rows: Iterator[tuple]) -> Iterator[tuple]:
     """Write sorted captures as a run, batch by batch; a row of the sparse index for each batch."""
-    system, base = _open(folder)
+    system, base = open_folder(folder)
     name = f"{uuid.uuid4().hex}.run"
     with system.open_output_stream(f"{base}/{name}", compression=None) as out, pa.ipc.new_file(out, ROW_SCHEMA) as writer:
         for number, batch in enumerate(_chunks(rows, BATCH_ROWS)):
@@ -200,7 +195,7 @@ def _chunks(rows: Iterator[tuple], size: int) -> Iterator[list[tuple]]:
 
 def _read_run(folder: str, name: str, batches: list[int] | None = None) -> Iterator[tuple]:
     """The captures of a run, or of some of its batches, one batch at a time."""
-    system, base = _open(folder)
+    system, base = open_folder(folder)
     with system.open_input_file(f"{base}/{name}") as source:
         run = pa.ipc.open_file(source)
         for i in range(run.num_record_batches) if batches is None else batches:
@@ -218,7 +213,7 @@ def write(
         try:
             for key, url, body, when, leader in it:
                 if out is None:
-                    system, base = _open(folder)
+                    system, base = open_folder(folder)
                     system.create_dir(base, recursive=True)
                     name = f"{uuid.uuid4().hex}.warc.gz"
                     out = system.open_output_stream(f"{base}/{name}", compression=None)
@@ -307,7 +302,7 @@ def read(index: DataFrame, folder: str, *, key: str = "page_id") -> DataFrame:
     """The records that an index names; the digest of each stored payload is checked."""
 
     def run(it: Iterator[tuple]) -> Iterator[tuple]:
-        system, base = _open(folder)
+        system, base = open_folder(folder)
         name, source = None, None
         for file, offset, size, surt, place in it:
             if file != name:
@@ -339,12 +334,6 @@ def read(index: DataFrame, folder: str, *, key: str = "page_id") -> DataFrame:
     return map_rows(placed, run, names, schema).withColumnRenamed("key", key)
 
 
-def remove(folder: str) -> None:
-    system, base = _open(folder)
-    if system.get_file_info(base).type != pafs.FileType.NotFound:
-        system.delete_dir(base)
-
-
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{checkpoint_root(spark)}/warc-{uuid.uuid4().hex}"
     try:

@@ -1,5 +1,8 @@
+import pytest
+
 import corpus_pipeline
-from scrubwell.llm import bpe, decontaminate, langid, pii, registry, simhash
+from scrubwell.llm import bpe, common, decontaminate, langid, pii, registry
+from tests.llm.test_near_copies import brute_kept
 
 
 def test_stages_against_the_operators(spark):
@@ -12,16 +15,8 @@ def test_stages_against_the_operators(spark):
     one = stages["language"](spark, docs, sf)
     assert {r.doc_id for r in one.collect()} == {r.doc_id for r in docs.collect() if not model.predict(r.text)[2]}
     two = stages["near_dedup"](spark, docs, sf)
-    rows = [(r.doc_id, simhash.fingerprint(r.text.encode())) for r in docs.collect()]
-    group = {k: k for k, _ in rows}
-    for _ in rows:  # least id by repeated relaxation
-        for a, x in rows:
-            for b, y in rows:
-                if (x ^ y).bit_count() <= 2 and group[b] < group[a]:
-                    group[a] = group[b]
-        if all(group[group[k]] == group[k] for k in group):
-            break
-    assert {r.doc_id for r in two.collect()} == set(group.values())
+    # The task's rule for near-duplicate stages (five words, 0.8), which operator 7's two bits don't give.
+    assert sorted(r.doc_id for r in two.collect()) == brute_kept(sorted((r.doc_id, r.text) for r in docs.collect()))
     three = stages["decontamination"](spark, docs, sf)
     hit = {r.doc_id for r in decontaminate.contaminated(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
     assert {r.doc_id for r in three.collect()} == {r.doc_id for r in docs.collect()} - hit
@@ -38,11 +33,47 @@ def test_stages_against_the_operators(spark):
     assert all(monoid.decode(r.ids).decode() == before[r.doc_id].text and len(r.ids) == r.n_tokens for r in five.collect())
 
 
-def test_run(spark):
-    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
-    assert 0 < len(rows) <= 200 and len({r.doc_id for r in rows}) == len(rows)
+def folders(root):
+    return sorted(p.name for p in root.iterdir())
+
+
+def test_run_resumes(spark, tmp_path, monkeypatch):
+    """A run that fails goes on after its last finished stage, with the rows of a run in one go, and leaves nothing else."""
+    sf, root = "/root/testdata/sf0.001", tmp_path / "run"
+    stages = list(corpus_pipeline.STAGES)
+
+    def fails(*_):
+        raise RuntimeError("lost")
+
+    made = len(common._MADE)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [*stages[:2], ("decontamination", fails), *stages[3:]])
+    with pytest.raises(RuntimeError, match="lost"):
+        corpus_pipeline.run(spark, sf, root=f"file://{root}")
+    assert folders(root) == ["1"] and len(common._MADE) == made
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("language", fails), ("near_dedup", fails), *stages[2:]])
+    rows = corpus_pipeline.run(spark, sf, root=f"file://{root}").collect()
+    assert folders(root) == ["4"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in stages[:3]:
+        docs = stage(spark, docs, sf)
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in docs.collect())
+
+
+def test_stages_on_odd_rows(spark, docs, tmp_path):
+    """Nulls, empty texts, repeated rows, equal ids and clashing columns through every stage, and an empty table."""
+    spark.createDataFrame([(1, "benchmark item"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [None, "", " ", (7, None), (None, "one two three four"), (None, "one two three four"), (5, "a benchmark item here"), (5, "a benchmark item here"),
+             (6, "mail bob@x.org"), (6, "mail bob@x.org"), (6, "other"), "x" * 50_000]
+    frame, stages = docs(texts), dict(corpus_pipeline.STAGES)
+    counts = {k: stages[k](spark, frame, str(tmp_path)).count() for k in stages}
+    assert counts == {"language": 0, "near_dedup": 6, "decontamination": 10, "sanitisation": 12, "tokens": 12}
+    clean = stages["sanitisation"](spark, frame, str(tmp_path))
+    assert all((r.n_chars is None) == (r.text is None) for r in clean.collect()) and all(r.word == "word" for r in clean.collect())
+    assert all(stages[k](spark, docs([]), str(tmp_path)).count() == 0 for k in stages)
 
 
 def test_registry_names():
-    assert {k.split("_")[0] for k in registry.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    dealt = [k for k in registry.QUERIES if k.startswith("op")]
+    assert sorted(k.split("_")[0] for k in dealt) == sorted(f"op{i}" for i in range(1, 11))
+    assert set(registry.QUERIES) - set(dealt) == {"quality_ablation"}
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
