@@ -235,7 +235,7 @@ for _args in [
     ("clip_numeric", "customer", "c_custkey", _BALANCE, [s.clip_numeric(0.0, 5000.0)], "CASE WHEN x < 0 THEN 0.0 WHEN x > 5000 THEN 5000.0 ELSE x END"),
     ("winsorize_numeric", "customer", "c_custkey", _BALANCE, [s.winsorize_numeric(), lambda c: F.round(c, 6)],
      f"round(CASE WHEN x < {_Q(0.05)} THEN {_Q(0.05)} WHEN x > {_Q(0.95)} THEN {_Q(0.95)} ELSE x END, 6)"),
-    ("clip_numeric_whole", "orders", "o_orderkey", "CAST(o_totalprice AS BIGINT)", [s.clip_numeric(0.0, 150000.5)],
+    ("clip_numeric_whole", "orders", "o_orderkey", "CAST(floor(o_totalprice) AS BIGINT)", [s.clip_numeric(0.0, 150000.5)],
      "CASE WHEN x > 150000.5 THEN 150000 ELSE x END"),
     ("winsorize_numeric_whole", "orders", "o_orderkey", "o_custkey", [s.winsorize_numeric()],
      f"CASE WHEN x < {_Q(0.05)} THEN trunc({_Q(0.05)})::BIGINT WHEN x > {_Q(0.95)} THEN trunc({_Q(0.95)})::BIGINT ELSE x END"),
