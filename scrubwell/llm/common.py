@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -55,7 +56,7 @@ def map_rows(
         size = 0
         for out in rows(tuples()):
             held.append(out)
-            size += sum(len(v) for v in out if hasattr(v, "__len__"))
+            size += sum(8 * len(v) if isinstance(v, (list, np.ndarray)) else len(v) for v in out if hasattr(v, "__len__"))
             if size >= OUT_BYTES or len(held) >= OUT_ROWS:
                 yield _batch(held, arrow)
                 held, size = [], 0
