@@ -1,6 +1,7 @@
 r"""Near copies of the pipeline: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-An exact set join finds them, and loses
+Operator 7's SimHash makes the first links: fingerprints on five-word shingles, its BK-trees over them, each link verified on all
+shingles of both texts. No radius that blocks can search reaches all pairs of 0.8, so an exact set join finds what is left, and loses
 no link between components. Texts with over a fifth of their shingles alone are similar to none and take no part. In any one
 order of all shingles, two sets that are similar enough share a shingle among the first ``n // 5 + 1`` of each; the order is by the
 number of texts that have a shingle. Many copies of one text would meet in pairs, so each is first compared with few leaders, and only
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from scrubwell.llm.common import cut, map_rows, release
 from scrubwell.llm.components import components
 from scrubwell.llm.pii import BITMAP_BITS, _bitmap
-from scrubwell.llm.simhash import first_of_each
+from scrubwell.llm.simhash import fingerprint, first_of_each
+from scrubwell.llm.simhash import links as fingerprint_links
 from scrubwell.llm.windows import run_hashes, word_hashes
 
 SHINGLE = 5
@@ -101,16 +103,16 @@ def _open(df: DataFrame, classes: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _whole(df: DataFrame, open_: DataFrame, key: str, text: str) -> DataFrame:
-    """``cls``, ``n``, and all ``shingles`` of each class of ``open_``."""
+    """``cls``, ``n``, all ``shingles`` and ``fp``, operator 7's fingerprint on shingles of five words, of each class of ``open_``."""
 
     def whole(data: bytes) -> tuple:
         s = shingle_set(data)
-        return _class_of(s), s.view(np.int64)
+        return _class_of(s), s.view(np.int64), fingerprint(data, SHINGLE)
 
-    schema = pa.schema([("cls", pa.int64()), ("shingles", pa.list_(pa.int64()))])
-    found = _rows_of(df, key, text, open_, whole, "cls long, shingles array<long>", schema)
+    schema = pa.schema([("cls", pa.int64()), ("shingles", pa.list_(pa.int64())), ("fp", pa.int64())])
+    found = _rows_of(df, key, text, open_, whole, "cls long, shingles array<long>, fp long", schema)
     once = found.join(open_.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
-    return cut(once.select("cls", F.size("shingles").alias("n"), "shingles"))
+    return cut(once.select("cls", F.size("shingles").alias("n"), "shingles", "fp"))
 
 
 def _beginnings(whole: DataFrame) -> DataFrame:
@@ -168,6 +170,15 @@ def _candidates(begun: DataFrame) -> DataFrame:
     return _enough(shared).select("a", "b")
 
 
+def _by_fingerprint(whole: DataFrame) -> DataFrame:
+    """Pairs of classes that operator 7 links: equal fingerprints, and those that its BK-trees find within its radius."""
+    of = cut(whole.groupBy("fp").agg(F.min("cls").alias("leader")))
+    equal = whole.select("fp", "cls").join(of, "fp").filter("cls <> leader").select(F.col("cls").alias("a"), F.col("leader").alias("b"))
+    ends = [of.select(F.col("fp").alias(x), F.col("leader").alias(f"{x}_")) for x in "ab"]
+    apart = fingerprint_links(of.select("fp")).join(ends[0], "a").join(ends[1], "b")
+    return equal.unionAll(apart.select(F.col("a_").alias("a"), F.col("b_").alias("b")))
+
+
 def _verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     """The pairs with a similarity of 0.8 or more, on all their shingles."""
     sets = [whole.select(F.col("cls").alias(c), F.col("shingles").alias(p)) for c, p in (("a", "p"), ("b", "q"))]
@@ -181,8 +192,8 @@ def links(df: DataFrame, sets: DataFrame, *, key: str = "doc_id", text: str = "t
     classes = cut(sets.groupBy("cls").agg(F.min("row_hash").alias("rep"), F.first("n").alias("n")))
     whole = _whole(df, _open(df, classes, key, text), key, text)
     release(df)
+    found = _verified(_by_fingerprint(whole), whole)
     begun = _beginnings(whole)
-    found = df.sparkSession.createDataFrame([], "a long, b long")
     release(df)
     for salt in range(ROUNDS):
         found = cut(found.unionAll(_verified(_leaders(_rooted(begun, found), salt), whole)))

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from scrubwell.llm import near_copies, pii
+from scrubwell.llm import near_copies, pii, simhash
 from tests.llm.test_near_copies import brute_kept
 
 
@@ -52,3 +52,23 @@ def test_bitmap_that_lets_all_through(spark, docs, monkeypatch):
     texts = texts_of(6, 3) + texts_of(6, 3) + [t.upper() for t in texts_of(6, 1)] + ["", None, "a b"]
     kept = corpus_pipeline.near_dedup(spark, docs(texts), "")
     assert sorted(x.doc_id for x in kept.collect()) == brute_kept(list(enumerate(texts)))
+
+
+def test_first_links_are_of_operator_7(spark, docs, monkeypatch):
+    """The stage takes the links of fingerprints on five words, by the operator's BK-trees, and verifies them."""
+    seen = []
+
+    def links(distinct, **kw):
+        seen.append({r.fp for r in distinct.collect()})
+        return simhash.links(distinct, **kw)
+
+    monkeypatch.setattr(near_copies, "fingerprint_links", links)
+    texts = texts_of(3, 4, changed=1)
+    prints = {simhash.fingerprint(t.encode(), 5) for t in texts}
+    kept = corpus_pipeline.near_dedup(spark, docs(texts), "")
+    assert sorted(x.doc_id for x in kept.collect()) == brute_kept(list(enumerate(texts)))
+    assert seen == [prints]
+    rows = [(i, i, [i], fp) for i, fp in enumerate([0, 0, 1, 7, -1, 3])]
+    whole = spark.createDataFrame(rows, "cls long, n long, shingles array<long>, fp long")
+    pairs = {tuple(sorted((r.a, r.b))) for r in near_copies._by_fingerprint(whole).collect()}
+    assert pairs <= {(0, 1), (0, 2), (0, 5), (2, 5), (2, 3), (3, 5)} and len(pairs) == 4
