@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubwell.llm.common import map_rows, read_table
+from scrubwell.llm.common import kept, map_rows, read_table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Entries of one generation of a memo; a memo holds two generations at most.
@@ -316,7 +316,7 @@ class Codec:
         return concatenated([back[i] for i in ids])
 
 
-_CODECS: dict[str, Codec] = {}
+_CODECS: dict[str, Codec] = kept("scrubwell.llm.bpe", "scrubwell.llm.token_counts")
 
 
 def codec(path: str) -> Codec:

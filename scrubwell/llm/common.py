@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -38,7 +39,7 @@ def map_rows(
     ``rows`` is a generator over input tuples, so what a task holds is one input batch and at most
     ``OUT_BYTES`` of output. String columns named in ``binary`` arrive as UTF-8 bytes.
     """
-    cut = frozenset(binary)
+    cut, owner = frozenset(binary), rows.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def tuples() -> Iterator[tuple]:
@@ -52,6 +53,8 @@ def map_rows(
                     yield from zip(*columns)
 
         gc.set_threshold(200_000, 50, 100)  # memos hold many small tuples; walking them often is slow
+        forget(owner)
+        give_back()  # of the task before, whose function and what it refers to are in cycles
         held: list[tuple] = []
         size = 0
         for out in rows(tuples()):
@@ -62,10 +65,38 @@ def map_rows(
                 held, size = [], 0
         if held:
             yield _batch(held, arrow)
+        held = []
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+#: What a worker keeps from task to task, and the modules whose tasks use it.
+_KEPT: list[tuple[dict, frozenset[str]]] = []
+
+
+def kept(*users: str) -> dict:
+    """A dict that lives as long as a worker runs tasks of the modules ``users``; tasks of another operator empty it."""
+    _KEPT.append(({}, frozenset(users)))
+    return _KEPT[-1][0]
+
+
+def forget(owner: str) -> None:
+    for what, users in _KEPT:
+        if owner not in users:
+            what.clear()
+
+
+def give_back() -> None:
+    """Return what a task freed to the system; workers outlive it, and allocators would hold on to it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
 

@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from scrubwell.llm.bpe import RANKS, Codec, Memo, codec
-from scrubwell.llm.common import map_rows, read_table
+from scrubwell.llm.common import kept, map_rows, read_table
 
 RULES = ("first", "last", "most")
-_LENGTHS: dict[int, Memo] = {}
+_LENGTHS: dict[int, Memo] = kept("scrubwell.llm.bpe", "scrubwell.llm.token_counts")  # with the codecs, whose ids are its keys
 
 
 def _lengths(c: Codec) -> Memo:

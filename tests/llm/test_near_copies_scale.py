@@ -1,7 +1,9 @@
 import random
 
+import pytest
+
 import corpus_pipeline
-from scrubwell.llm import near_copies, pii, simhash
+from scrubwell.llm import bpe, common, near_copies, pii, simhash
 from tests.llm.test_near_copies import brute_kept
 
 
@@ -72,3 +74,10 @@ def test_first_links_are_of_operator_7(spark, docs, monkeypatch):
     whole = spark.createDataFrame(rows, "cls long, n long, shingles array<long>, fp long")
     pairs = {tuple(sorted((r.a, r.b))) for r in near_copies._by_fingerprint(whole).collect()}
     assert pairs <= {(0, 1), (0, 2), (0, 5), (2, 5), (2, 3), (3, 5)} and len(pairs) == 4
+
+
+@pytest.mark.parametrize("owner, stays", [("scrubwell.llm.bpe", True), ("scrubwell.llm.token_counts", True), ("scrubwell.llm.near_copies", False)])
+def test_workers_drop_what_other_operators_keep(owner, stays):
+    bpe.codec(bpe.public_tokenizers.path(bpe.RANKS))
+    common.forget(owner)
+    assert bool(bpe._CODECS) == stays
