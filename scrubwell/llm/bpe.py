@@ -13,8 +13,11 @@ is empty.
 The pre-tokenizer's pieces never merge with each other, so above the level of pieces the join is plain
 concatenation, and decoding concatenates neighbours at every level of a tree.
 
-Workers remember chunks, pieces and what they decode to, in memos bounded by entries and by the length of an
-entry; longer ones, as texts without spaces have them, are made anew each time. So memory doesn't grow with the input.
+Frames are handled in slices of some ``SLICE`` bytes. A slice is cut into chunks on its bytes, each distinct chunk is
+encoded once, and texts are put together from the chunks' ids by Arrow; so is what the ids decode to.
+
+Workers remember chunks and pieces from slice to slice, in memos bounded by entries and by the length of an entry;
+longer ones, as texts without spaces have them, are made anew each time. So memory doesn't grow with the input.
 
 Nulls count as empty text; an empty text has no tokens. Each row is handled alone, so ties, repeated
 rows, empty tables and further columns make no difference; further input columns aren't read.
@@ -24,16 +27,17 @@ from __future__ import annotations
 
 import base64
 import heapq
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubwell.llm.common import kept, map_rows, read_table
+from scrubwell.llm.common import kept, map_batches, map_rows, read_table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Entries of one generation of a memo; a memo holds two generations at most.
@@ -46,6 +50,8 @@ HALF = 8
 REACH = 3
 #: Letters below this sign are letters to every Unicode version.
 LATIN = "\u0250"
+#: Bytes of text, or a single longer text, whose chunks are looked up together.
+SLICE = 4 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -105,9 +111,6 @@ def _merge_long(parts: list[int], pairs: dict[int, int]) -> tuple[int, ...]:
     return tuple(out)
 
 
-_BLANKS = re.compile(r"\s ")
-
-
 class Memo(dict):
     """A memo of ``make``, bounded in entries and their length: when full, the younger generation becomes the older one."""
 
@@ -137,7 +140,6 @@ class BpeMonoid:
         for b, r in ranks.items():
             self.token[r] = b
         self.decimal = [str(i) for i in range(len(self.token))]
-        self.spelling = dict(zip(self.decimal, self.token))
         self.find = regex.compile(pattern).findall
         self.byte = [ranks[bytes([i])] for i in range(256)]
         self.spelt = [[self.byte[x] for x in t] for t in self.token]
@@ -261,6 +263,74 @@ def concatenated(parts: list[bytes]) -> bytes:
     return parts[0] + parts[1] if len(parts) == 2 else parts[0] if parts else b""
 
 
+#: Last bytes of white space beyond ASCII, as numbers of two and three bytes.
+_WHITE = [int.from_bytes(c.encode(), "big") for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x10000)]) if c.isspace()]
+_WHITE2, _WHITE3 = [w for w in _WHITE if w < 1 << 16], [w for w in _WHITE if w >= 1 << 16]
+
+
+def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where chunks begin in the bytes of texts: at each text's start, and at each space that follows a character
+    other than white space (ASCII control characters count as that here; cutting less is never wrong)."""
+    at = np.flatnonzero(data == 0x20)
+    at = at[at > 0]
+    before = data[at - 1]
+    mark = np.zeros(len(data), bool)
+    mark[at[(before > 0x20) & (before < 0x80)]] = True
+    at = at[before >= 0x80]
+    if at.size:
+        two = data[at - 2].astype(np.int32) << 8 | data[at - 1]
+        white = np.isin(two, _WHITE2) | np.isin(data[at - 3].astype(np.int32) << 16 | two, _WHITE3)
+        mark[at[~white]] = True
+    mark[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+    return np.flatnonzero(mark)
+
+
+class Slice:
+    """Some texts as distinct chunks: ``ids`` and ``tokens`` of each of these, the chunk at each place (``codes``), and
+    where each text's places begin (``places``, one more than texts). An empty text has no chunk."""
+
+    def __init__(self, codec: Codec, texts: pa.Array):
+        self.codec = codec
+        texts = texts.cast(pa.string())
+        if texts.null_count:
+            texts = pc.fill_null(texts, "")
+        _, offsets, data = texts.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+        self.data = np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]]
+        self.offsets = offsets - offsets[0]
+        starts = chunk_starts(self.data, self.offsets)
+        self.places = np.searchsorted(starts, self.offsets).astype(np.int32)
+        bounds = np.append(starts, len(self.data)).astype(np.int32)
+        coded = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(self.data)).dictionary_encode()
+        self.codes = coded.indices
+        head, tail = codec.head, codec.tail
+        self.ids = [tail[k[1:]] if k[0] == " " else head[k] for k in coded.dictionary.to_pylist()]
+
+    def tokens(self) -> pa.ListArray:
+        """The ids of each distinct chunk as numbers."""
+        parts = pc.split_pattern(pa.array(self.ids, pa.string()), ",")
+        return pa.ListArray.from_arrays(parts.offsets, parts.values.cast(pa.int32()))
+
+    def joined(self, each: pa.Array, between: str | bytes) -> pa.Array:
+        """Per text, what ``each`` has for its chunks, concatenated."""
+        return pc.binary_join(pa.ListArray.from_arrays(self.places, each.take(self.codes)), pa.scalar(between, each.type))
+
+    def ids_text(self) -> pa.Array:
+        """Per text its ids, decimal and comma-joined."""
+        return self.joined(pa.array(self.ids, pa.string()), ",")
+
+    def numbers(self) -> pa.ListArray:
+        """Per text its ids as numbers."""
+        each = self.tokens().take(self.codes)
+        return pa.ListArray.from_arrays(each.offsets.take(pa.array(self.places)), each.values)
+
+    def decoded(self) -> pa.Array:
+        """Per text the bytes that its ids stand for: tokens concatenated to chunks, chunks to texts."""
+        tokens = self.tokens()
+        spelt = pa.ListArray.from_arrays(tokens.offsets, self.codec.spelling.take(tokens.values))
+        return self.joined(pc.binary_join(spelt, pa.scalar(b"", pa.binary())), b"")
+
+
 class Codec:
     """Whole texts to ids and back.
 
@@ -273,8 +343,10 @@ class Codec:
     def __init__(self, monoid: BpeMonoid):
         self.monoid = monoid
         self.head = Memo(self._ids)
-        self.tail = Memo(lambda chunk: self._ids(" " + chunk), 2 * MEMO)
+        self.tail = Memo(lambda chunk: self._ids(" " + chunk))
         self.back = Memo(self._decode)
+        self.spelling = pa.array(monoid.token, pa.binary())
+        self.sizes = pc.binary_length(self.spelling)
 
     def _ids(self, chunk: str) -> str:
         m = self.monoid
@@ -287,35 +359,29 @@ class Codec:
         return ",".join([decimal[i] for i in m.piece(chunk)])
 
     def _decode(self, ids: str) -> bytes:
-        spelling = self.monoid.spelling
-        return concatenated([spelling[i] for i in ids.split(",")])
-
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        """Chunks but the first lack their leading space."""
-        parts = text.split(" ")
-        if not _BLANKS.search(text):
-            return parts
-        out = [parts[0]]
-        for p in parts[1:]:
-            if not out[-1] or out[-1][-1].isspace():
-                out[-1] += " " + p
-            else:
-                out.append(p)
-        return out
+        return self.monoid.decode(map(int, ids.split(",")))
 
     def ids_text(self, text: str) -> list[str]:
         """Decimal ids of each chunk, comma-joined; every string has one id at least."""
-        if not text:
-            return []
-        first, *rest = self.chunks(text)
-        return ([self.head[first]] if first else []) + [self.tail[c] for c in rest]
+        part = Slice(self, pa.array([text], pa.string()))
+        return [part.ids[i] for i in part.codes.to_pylist()]
 
     def bytes_of(self, ids: list[str]) -> bytes:
         back = self.back
         return concatenated([back[i] for i in ids])
 
 
+def slices(batches: Iterator[pa.RecordBatch], codec: Codec) -> Iterator[tuple[pa.Array, pa.Array, Slice]]:
+    """Keys, texts and slices of batches of ``key`` and ``text``."""
+    for batch in batches:
+        at, size = 0, pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).cumsum()
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(size, SLICE + (size[at - 1] if at else 0), "right")))
+            part = batch.slice(at, end - at)
+            yield part.column("key"), part.column("text"), Slice(codec, part.column("text"))
+            at = end
+
+
 _CODECS: dict[str, Codec] = kept("scrubwell.llm.bpe", "scrubwell.llm.token_counts")
 
 
@@ -329,28 +395,25 @@ def codec(path: str) -> Codec:
 def round_trip(df: DataFrame, path: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``ids`` (decimal, comma-joined) and ``decoded`` (the bytes that the ids stand for)."""
     source = df.select(df[key].cast("long").alias("key"), df[text].cast("string").alias("text"))
+    schema = pa.schema([("key", pa.int64()), ("ids", pa.string()), ("decoded", pa.binary())])
 
-    def rows(it: Iterator[tuple]) -> Iterator[tuple]:
-        c = codec(path)
-        for k, t in it:
-            ids = c.ids_text(t or "")
-            yield k, ",".join(ids), c.bytes_of(ids)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, _, part in slices(batches, codec(path)):
+            yield pa.RecordBatch.from_arrays([keys, part.ids_text(), part.decoded()], schema=schema)
 
-    schema = pa.schema([("key", pa.int64()), ("ids", pa.string()), ("decoded", pa.binary())])
-    return map_rows(source, rows, "key long, ids string, decoded binary", schema).withColumnRenamed("key", key)
+    return map_batches(source, run, "key long, ids string, decoded binary", __name__).withColumnRenamed("key", key)
 
 
 def encode(df: DataFrame, path: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and ``ids`` as an array of int."""
     source = df.select(df[key].cast("long").alias("key"), df[text].cast("string").alias("text"))
+    schema = pa.schema([("key", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
-    def rows(it: Iterator[tuple]) -> Iterator[tuple]:
-        c = codec(path)
-        for k, t in it:
-            yield k, [int(i) for chunk in c.ids_text(t or "") for i in chunk.split(",")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, _, part in slices(batches, codec(path)):
+            yield pa.RecordBatch.from_arrays([keys, part.numbers()], schema=schema)
 
-    schema = pa.schema([("key", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    return map_rows(source, rows, "key long, ids array<int>", schema).withColumnRenamed("key", key)
+    return map_batches(source, run, "key long, ids array<int>", __name__).withColumnRenamed("key", key)
 
 
 def decode(df: DataFrame, path: str, *, key: str = "doc_id", ids: str = "ids") -> DataFrame:

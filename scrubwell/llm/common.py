@@ -52,9 +52,6 @@ def map_rows(
                     ]
                     yield from zip(*columns)
 
-        gc.set_threshold(200_000, 50, 100)  # memos hold many small tuples; walking them often is slow
-        forget(owner)
-        give_back()  # of the task before, whose function and what it refers to are in cycles
         held: list[tuple] = []
         size = 0
         for out in rows(tuples()):
@@ -65,10 +62,26 @@ def map_rows(
                 held, size = [], 0
         if held:
             yield _batch(held, arrow)
-        held = []
+
+    return map_batches(df, run, schema, owner)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, owner: str) -> DataFrame:
+    """Run ``run`` of the module ``owner`` over the Arrow batches of each partition; what it gives goes to Spark in
+    batches of some ``OUT_BYTES``."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.set_threshold(200_000, 50, 100)  # memos hold many small tuples; walking them often is slow
+        forget(owner)
+        give_back()  # of the task before, whose function and what it refers to are in cycles
+        for batch in run(batches):
+            step = min(OUT_ROWS, batch.num_rows * OUT_BYTES // max(batch.nbytes, OUT_BYTES) + 1)
+            for start in range(0, batch.num_rows, step):
+                yield batch.slice(start, step)
+        batch = None
         give_back()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(task, schema)
 
 
 #: What a worker keeps from task to task, and the modules whose tasks use it.
