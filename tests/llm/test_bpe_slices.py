@@ -51,3 +51,20 @@ def test_a_round_trip_remembers_a_chunk_once(run):
     c = bpe.codec(PATH)
     assert sum(len(m) + len(m.old) for m in (c.head, c.tail, c.back)) <= len(words)
     assert c.head.limit + c.tail.limit <= 2 * bpe.MEMO
+
+
+class Counted(bpe.Memo):
+    asked = 0
+
+    def __getitem__(self, key):
+        Counted.asked += 1
+        return super().__getitem__(key)
+
+
+def test_a_chunk_is_looked_up_once_a_slice(run, monkeypatch):
+    """Not at each place where it stands: that took operator 1 beyond its CPU time."""
+    monkeypatch.setattr(bpe, "Memo", Counted)
+    monkeypatch.setattr(Counted, "asked", 0)
+    texts = ["one two three"] + ["one two three four five " * 40] * 50
+    assert [r["decoded"].decode() for r in run(bpe.round_trip, texts)] == texts
+    assert 0 < Counted.asked < 40
