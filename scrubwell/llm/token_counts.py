@@ -22,33 +22,31 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from scrubwell.llm.bpe import RANKS, Codec, Memo, codec
-from scrubwell.llm.common import kept, map_rows, read_table
+from scrubwell.llm.bpe import RANKS, Codec, Slice, codec, slices
+from scrubwell.llm.common import map_batches, read_table
 
 RULES = ("first", "last", "most")
-_LENGTHS: dict[int, Memo] = kept("scrubwell.llm.bpe", "scrubwell.llm.token_counts")  # with the codecs, whose ids are its keys
 
 
-def _lengths(c: Codec) -> Memo:
-    """Memo from a chunk's decimal ids to its tokens' byte lengths, as int32 bytes."""
-    if id(c) not in _LENGTHS:
-        token = c.monoid.token
-        _LENGTHS[id(c)] = Memo(lambda ids: np.array([len(token[int(i)]) for i in ids.split(",")], np.int32).tobytes())
-    return _LENGTHS[id(c)]
+def spans(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end (exclusive) of each token, and the start of each text, in code points of all texts of a slice."""
+    tokens = part.tokens()
+    each = pa.ListArray.from_arrays(tokens.offsets, part.codec.sizes.take(tokens.values))
+    sizes = each.take(part.codes).values.to_numpy()
+    ends = np.cumsum(sizes, dtype=np.int64)
+    starts = ends - sizes
+    first = np.flatnonzero((part.data & 0xC0) != 0x80)
+    if len(first) == len(part.data):
+        return starts, ends, part.offsets
+    char = np.zeros(len(part.data) + 1, np.int32)
+    char[first + 1] = 1
+    np.cumsum(char, out=char)  # characters that begin before a byte
+    return char[starts + 1].astype(np.int64) - 1, char[ends].astype(np.int64), char[part.offsets]
 
 
 def token_spans(text: str, c: Codec) -> tuple[np.ndarray, np.ndarray]:
     """Start and end (exclusive) of each token of ``text``, in code points."""
-    memo = _lengths(c)
-    sizes = np.frombuffer(b"".join([memo[i] for i in c.ids_text(text)]), np.int32)
-    if not sizes.size:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    data = text.encode()
-    ends = np.cumsum(sizes, dtype=np.int64)
-    if len(data) == len(text):
-        return ends - sizes, ends
-    char = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80, dtype=np.int32) - 1
-    return char[ends - sizes].astype(np.int64), char[ends - 1].astype(np.int64) + 1
+    return spans(Slice(c, pa.array([text], pa.string())))[:2]
 
 
 def attribute(starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
@@ -89,19 +87,25 @@ def section_counts(
         raise ValueError(f"rule must be one of {RULES}")
     source = df.select(df[key].cast("long").alias("key"), df[text].cast("string").alias("text"))
 
-    def rows(it: Iterator[tuple]) -> Iterator[tuple]:
-        c = codec(path)
-        for k, t in it:
-            t = t or ""
-            bounds = sections(t)
-            counts, crossing = attribute(*token_spans(t, c), bounds, rule)
-            ends = bounds.tolist()
-            for i, (n, x) in enumerate(zip(counts.tolist(), crossing.tolist())):
-                yield k, i, ends[i], ends[i + 1], n, x
-
     names = ("key", "section", "char_start", "char_end", "n_tokens", "n_crossing")
-    schema = pa.schema([(x, pa.int64()) for x in names])
-    return map_rows(source, rows, ", ".join(f"{x} long" for x in names), schema).withColumnRenamed("key", key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, texts, part in slices(batches, codec(path)):
+            starts, ends, texts_at = spans(part)
+            each = []
+            for t in texts.to_pylist():
+                each.append(sections(t or ""))
+                if each[-1][0] != 0 or each[-1][-1] != len(t or ""):
+                    raise ValueError("sections must go from 0 to the length of a text")
+            n = np.array([len(b) - 1 for b in each])
+            at, end = (np.concatenate([b[cut] for b in each]) for cut in (slice(None, -1), slice(1, None)))
+            bounds = np.append(0, end + np.repeat(texts_at[:-1], n))  # texts lie side by side, so their sections do
+            counts, crossing = attribute(starts, ends, bounds, rule)
+            section = np.arange(len(end)) - np.repeat(np.cumsum(n) - n, n)
+            columns = [keys.take(pa.array(np.repeat(np.arange(len(n)), n))), *(pa.array(x, pa.int64()) for x in (section, at, end, counts, crossing))]
+            yield pa.RecordBatch.from_arrays(columns, names=list(names))
+
+    return map_batches(source, run, ", ".join(f"{x} long" for x in names), __name__).withColumnRenamed("key", key)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
