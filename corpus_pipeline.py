@@ -47,12 +47,10 @@ def sanitisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document, with digests of the ids and of what they decode to. Null texts count as empty, without ids."""
-    trip = bpe.round_trip(docs, public_tokenizers.path(bpe.RANKS))
-    ids = F.when(F.col("ids") == "", F.array().cast("array<int>")).otherwise(F.split("ids", ",").cast("array<int>"))
-    n = F.size(ids).cast("long")
+    trip = bpe.round_trip(docs, public_tokenizers.path(bpe.RANKS), numbers=True)
     return trip.select(
-        "doc_id", n.alias("n_tokens"), F.sha2(F.encode("ids", "UTF-8"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"), ids.alias("ids"),
+        "doc_id", F.size("numbers").cast("long").alias("n_tokens"), F.sha2(F.encode("ids", "UTF-8"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), F.col("numbers").alias("ids"),
     )
 
 

@@ -37,11 +37,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubwell.llm.common import kept, map_batches, map_rows, read_table
+from scrubwell.llm.common import kept, map_batches, map_rows, read_table, trim
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Entries of one generation of a memo; a memo holds two generations at most.
+#: Entries of each memo of windows and halves.
 MEMO = 150_000
+#: Entries of one generation of a memo of chunks and pieces, which holds two generations at most.
+CHUNKS = 100_000
 #: Longer keys aren't remembered.
 LONG = 64
 #: Halves of at most so many bytes are remembered too.
@@ -50,8 +52,9 @@ HALF = 8
 REACH = 3
 #: Letters below this sign are letters to every Unicode version.
 LATIN = "\u0250"
-#: Bytes of text, or a single longer text, whose chunks are looked up together.
-SLICE = 4 << 20
+#: Bytes of text, or a single longer text, whose chunks are looked up together. What a slice takes beside them is some 25
+#: times that, so it sets what a worker needs.
+SLICE = 1 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -114,7 +117,7 @@ def _merge_long(parts: list[int], pairs: dict[int, int]) -> tuple[int, ...]:
 class Memo(dict):
     """A memo of ``make``, bounded in entries and their length: when full, the younger generation becomes the older one."""
 
-    def __init__(self, make, limit: int = MEMO):
+    def __init__(self, make, limit: int = CHUNKS):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
@@ -125,6 +128,7 @@ class Memo(dict):
         if got is None:
             got = self.make(key)
         if len(self) >= self.limit:
+            self.old = {}  # before the younger one is copied
             self.old = dict(self)
             self.clear()
         self[key] = got
@@ -305,11 +309,14 @@ class Slice:
         self.codes = coded.indices
         head, tail = codec.head, codec.tail
         self.ids = [tail[k[1:]] if k[0] == " " else head[k] for k in coded.dictionary.to_pylist()]
+        self._tokens: pa.ListArray | None = None
 
     def tokens(self) -> pa.ListArray:
         """The ids of each distinct chunk as numbers."""
-        parts = pc.split_pattern(pa.array(self.ids, pa.string()), ",")
-        return pa.ListArray.from_arrays(parts.offsets, parts.values.cast(pa.int32()))
+        if self._tokens is None:
+            parts = pc.split_pattern(pa.array(self.ids, pa.string()), ",")
+            self._tokens = pa.ListArray.from_arrays(parts.offsets, parts.values.cast(pa.int32()))
+        return self._tokens
 
     def joined(self, each: pa.Array, between: str | bytes) -> pa.Array:
         """Per text, what ``each`` has for its chunks, concatenated."""
@@ -379,7 +386,8 @@ def slices(batches: Iterator[pa.RecordBatch], codec: Codec) -> Iterator[tuple[pa
             end = max(at + 1, int(np.searchsorted(size, SLICE + (size[at - 1] if at else 0), "right")))
             part = batch.slice(at, end - at)
             yield part.column("key"), part.column("text"), Slice(codec, part.column("text"))
-            at = end
+            at, part = end, None
+            trim()  # else allocators gather, slice by slice, as much again as the memos take
 
 
 _CODECS: dict[str, Codec] = kept("scrubwell.llm.bpe", "scrubwell.llm.token_counts")
@@ -392,16 +400,22 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def round_trip(df: DataFrame, path: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``ids`` (decimal, comma-joined) and ``decoded`` (the bytes that the ids stand for)."""
+def round_trip(df: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", numbers: bool = False) -> DataFrame:
+    """``key``, ``ids`` (decimal, comma-joined), ``decoded`` (the bytes that the ids stand for) and, if asked for, ``numbers``
+    (the ids as an array of int)."""
     source = df.select(df[key].cast("long").alias("key"), df[text].cast("string").alias("text"))
-    schema = pa.schema([("key", pa.int64()), ("ids", pa.string()), ("decoded", pa.binary())])
+    more = [("numbers", pa.list_(pa.int32()))] if numbers else []
+    schema = pa.schema([("key", pa.int64()), ("ids", pa.string()), ("decoded", pa.binary()), *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, _, part in slices(batches, codec(path)):
-            yield pa.RecordBatch.from_arrays([keys, part.ids_text(), part.decoded()], schema=schema)
+            arrays = [keys, part.ids_text(), part.decoded(), *([part.numbers()] if numbers else [])]
+            part = None
+            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+            arrays = None
 
-    return map_batches(source, run, "key long, ids string, decoded binary", __name__).withColumnRenamed("key", key)
+    names = "key long, ids string, decoded binary" + ", numbers array<int>" * numbers
+    return map_batches(source, run, names, __name__).withColumnRenamed("key", key)
 
 
 def encode(df: DataFrame, path: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
