@@ -20,12 +20,22 @@ from pyspark.sql import functions as F
 #: Bytes of output that a task gathers before it hands an Arrow batch back to Spark.
 OUT_BYTES = 4 << 20
 OUT_ROWS = 4096
+#: Spark's limit of the bytes of a batch that it hands to a worker, and what ``small_batches`` sets.
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+IN_BYTES = 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark end a batch for a worker with the row that reaches ``IN_BYTES``. Its default is 64 MB, of which a task holds
+    copies in the JVM and one in the worker. Plans are made when they run, so the session keeps the setting; one of the user's own stays."""
+    if BATCH_LIMIT not in spark.conf.getAll:
+        spark.conf.set(BATCH_LIMIT, IN_BYTES)
+
+
 def map_rows(
     df: DataFrame,
     rows: Callable[[Iterator[tuple]], Iterable[tuple]],
